@@ -60,10 +60,9 @@ TRANSACTION_FIELDS = [
 TRANSACTION_SCHEMA = T.StructType(TRANSACTION_FIELDS)
 TRANSACTION_COLUMNS = [f.name for f in TRANSACTION_FIELDS]
 
-VIOLATION_TYPE = T.StructType(
-    [T.StructField("code", T.StringType(), False), T.StructField("message", T.StringType(), False)]
+VIOLATIONS_TYPE = T.ArrayType(
+    T.StructType([T.StructField("code", T.StringType()), T.StructField("message", T.StringType())])
 )
-VIOLATIONS_TYPE = T.ArrayType(VIOLATION_TYPE, False)
 
 CONTEXT_FIELDS = [
     T.StructField("transactions_last_minute", T.LongType()),
