@@ -34,6 +34,7 @@ _JSON_OPTIONS = {
 }
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,9})?$"
 _JSON_SPACE = " \t\r\n"
+_MANY_DIGITS = r"\d(\.?\d){15}"
 
 
 def _absent(text: Column) -> Column:
@@ -90,9 +91,12 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("payload", F.coalesce(utf8_text(value), F.lit(""))).withColumn(
         "_doc", F.from_json("payload", _JSON_SCHEMA, _JSON_OPTIONS)
     )
-    rows = rows.withColumn("_given_amount", _absent(F.col("_doc.amount"))).withColumn(
-        "_given_time", F.trim("_doc.timestamp")
+    # JSON numbers read as text pass through a double, which keeps 15 digits; longer ones take the exact way.
+    exact = F.try_variant_get(F.try_parse_json(payload), "$.amount", "string")
+    amount_text = F.when(payload.rlike(_MANY_DIGITS), F.coalesce(exact, F.col("_doc.amount"))).otherwise(
+        F.col("_doc.amount")
     )
+    rows = rows.withColumn("_given_amount", _absent(amount_text)).withColumn("_given_time", F.trim("_doc.timestamp"))
     given_time = F.when(F.col("_given_time") != "", F.col("_given_time"))
     amount, amount_error = _amount(F.col("_given_amount"))
     status, status_error = _status(F.col("_doc.paymentStatus"))
