@@ -35,31 +35,6 @@ def _zero_sum(total: Column) -> Column:
     return F.coalesce(total.cast("decimal(31,8)"), F.lit(0).cast("decimal(31,8)"))
 
 
-def _context(
-    minute: Column,
-    spent: Column,
-    previous_country: Column,
-    recent: Column,
-    approved_total: Column,
-    approved_count: Column,
-    since: Column,
-    known: Column,
-    declined: Column,
-) -> dict[str, Column]:
-    current = _approved_amount(F.col("payment_status"), F.col("amount"))
-    return {
-        "transactions_last_minute": minute + 1,
-        "amount_last_ten_minutes": (_zero_sum(spent) + _zero_sum(current)).cast(m.MONEY_SUM),
-        "previous_country": previous_country,
-        "recent_countries": recent,
-        "average_recent_amount": half_up_average(approved_total, approved_count),
-        "recent_transaction_count": approved_count,
-        "time_since_previous_ms": since,
-        "known_countries": known,
-        "declined_last_five_minutes": declined,
-    }
-
-
 def with_history(
     transactions: DataFrame,
     *,
@@ -71,99 +46,133 @@ def with_history(
     if not 1 <= max_entries <= 999:
         raise ValueError(f"max_entries must be within 1..999: {max_entries}")
     keys = list(keys)
-    ts, tx_id = F.col("ts_ms"), F.col("transaction_id")
+    ts = F.col("ts_ms")
     in_order = Window.partitionBy(*keys).orderBy("ts_ms", "transaction_id")
 
-    # One sort by (keys, ts_ms, transaction_id) serves these three windows.
-    rows = (
-        transactions.withColumn("_spent", _approved_amount(F.col("payment_status"), F.col("amount")))
-        .withColumn("_last_ts", F.lag("ts_ms").over(in_order))
-        .withColumn("_last_country", F.lag("country").over(in_order))
-        .withColumn("_far_ts", F.lag("ts_ms", max_entries).over(in_order))
-        .withColumn("_position", F.row_number().over(in_order))
-        .withColumn("_tie", F.row_number().over(Window.partitionBy(*keys, "ts_ms").orderBy("transaction_id")) - 1)
+    # One sort by (keys, ts_ms, transaction_id) serves these windows and those of the rows path.
+    rows = transactions.withColumns(
+        {
+            "_spent": _approved_amount(F.col("payment_status"), F.col("amount")),
+            "_last_ts": F.lag("ts_ms").over(in_order),
+            "_last_country": F.lag("country").over(in_order),
+            "_far_ts": F.lag("ts_ms", max_entries).over(in_order),
+            "_position": F.row_number().over(in_order),
+            "_tie": F.row_number().over(Window.partitionBy(*keys, "ts_ms").orderBy("transaction_id")) - 1,
+        }
     )
     keeps_one_more_ms = F.col("_tie") == 0
     if retention_ms < m.TEN_MINUTES_MS:
-        is_crowded = F.lit(True)  # a fixed window could outlive the retention: always filter entry by entry
+        is_crowded = F.lit(True)  # a fixed window could outlive the retention: always look at single entries
     else:
         crowded_row = F.coalesce(ts - F.col("_far_ts") <= retention_ms + 1, F.lit(False))
         is_crowded = F.max(crowded_row).over(Window.partitionBy(*keys))
     rows = rows.withColumn("_crowded", is_crowded)
     rows = _rows_path(rows, in_order, retention_ms, max_entries, keeps_one_more_ms)
-    rows = _range_path(rows, retention_ms, max_entries, keys, keeps_one_more_ms)
+    rows = _range_path(rows, retention_ms, max_entries, keys)
 
     known_before = F.coalesce(ts - F.col("_last_ts") <= retention_ms + 1, F.lit(False))
-    frames = _context(
-        minute=F.col("_n_minute"),
-        spent=F.col("_spent_ten"),
-        previous_country=F.when(known_before, F.col("_last_country")),
-        recent=F.col("_recent"),
-        approved_total=_zero_sum(F.col("_kept_spent"))
-        + _zero_sum(F.when(keeps_one_more_ms, F.col("_edge_spent"))),
-        approved_count=F.col("_kept_n") + F.when(keeps_one_more_ms, F.col("_edge_n")).otherwise(F.lit(0)),
-        since=F.when(known_before, ts - F.col("_last_ts")),
-        known=F.when(
-            keeps_one_more_ms & (F.size("_edge_known") > 0), F.array_union(F.col("_kept_known"), F.col("_edge_known"))
-        ).otherwise(F.col("_kept_known")),
-        declined=F.col("_declined_five"),
+    on_edge = keeps_one_more_ms & (F.size("_edge_known") > 0)
+    frames = {
+        "minute": F.col("_n_minute"),
+        "spent": _zero_sum(F.col("_spent_ten")),
+        "previous_country": F.when(known_before, F.col("_last_country")),
+        "recent": F.col("_recent"),
+        "approved_total": (
+            _zero_sum(F.col("_kept_spent")) + _zero_sum(F.when(keeps_one_more_ms, F.col("_edge_spent")))
+        ).cast("decimal(31,8)"),
+        "approved_count": F.col("_kept_n") + F.when(keeps_one_more_ms, F.col("_edge_n")).otherwise(F.lit(0)),
+        "since": F.when(known_before, ts - F.col("_last_ts")),
+        "known": F.when(on_edge, F.array_union("_kept_known", "_edge_known")).otherwise(F.col("_kept_known")),
+        "declined": F.col("_declined_five"),
+    }
+    rows = rows.select(
+        *transactions.columns,
+        *[
+            F.when(F.col("_crowded"), F.col(f"_rows_path.{name}")).otherwise(value).alias(f"_{name}")
+            for name, value in frames.items()
+        ],
+        _zero_sum(F.col("_spent")).alias("_current"),
     )
-    picked = {
-        name: F.when(F.col("_crowded"), F.col(f"_rows_path.{name}")).otherwise(frames[name]).alias(name)
-        for name in m.CONTEXT_COLUMNS
+    context = {
+        "transactions_last_minute": F.col("_minute") + 1,
+        "amount_last_ten_minutes": (F.col("_spent") + F.col("_current")).cast(m.MONEY_SUM),
+        "previous_country": F.col("_previous_country"),
+        "recent_countries": F.col("_recent"),
+        "average_recent_amount": half_up_average(F.col("_approved_total"), F.col("_approved_count")),
+        "recent_transaction_count": F.col("_approved_count"),
+        "time_since_previous_ms": F.col("_since"),
+        "known_countries": F.col("_known"),
+        "declined_last_five_minutes": F.col("_declined"),
     }
-    return rows.select(*transactions.columns, *picked.values())
+    return rows.select(*transactions.columns, *[value.alias(name) for name, value in context.items()])
 
 
 def _rows_path(rows: DataFrame, in_order, retention_ms: int, max_entries: int, keeps_one_more_ms: Column) -> DataFrame:
-    """Context of a crowded customer's row from its newest ``max_entries`` predecessors; NULL for other rows."""
-    ts = F.col("ts_ms")
-    entry = F.struct(
-        ts.alias("ts"),
-        F.col("_spent").alias("spent"),
-        F.col("country").alias("country"),
-        F.col("payment_status").eqNullSafe(m.DECLINED).alias("declined"),
+    """Adds ``_rows_path``: the context of a crowded customer's row, from its newest ``max_entries`` predecessors.
+
+    Each predecessor carries running totals of what came before it, so the sum over the last ``k`` entries is a
+    difference of two totals and only the entry times are searched.  NULL for rows that are not crowded.
+    """
+    ts, crowded = F.col("ts_ms"), F.col("_crowded")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    declined = F.when(crowded & (F.col("payment_status") == m.DECLINED), F.lit(1))
+    spent = F.when(crowded, F.col("_spent"))
+    rows = rows.withColumns(
+        {
+            "_spent_before": F.coalesce(F.sum(spent).over(before), F.lit(0)).cast("decimal(37,8)"),
+            "_approved_before": F.count(spent).over(before),
+            "_declined_before": F.count(declined).over(before),
+        }
     )
-    newest = F.collect_list(F.when(F.col("_crowded"), entry)).over(in_order.rowsBetween(-max_entries, -1))
+    totals = ("_spent_before", "_approved_before", "_declined_before")
+    entry = F.struct(ts.alias("ts"), "country", *totals)
+    newest = F.collect_list(F.when(crowded, entry)).over(in_order.rowsBetween(-max_entries, -1))
+    rows = rows.withColumn("_newest", newest)
     oldest_kept = ts - retention_ms - F.when(keeps_one_more_ms, F.lit(1)).otherwise(F.lit(0))
-    rows = rows.withColumn("_newest", newest).withColumn(
-        "_kept", F.when(F.col("_crowded"), F.filter("_newest", lambda e: e["ts"] >= oldest_kept))
+
+    def how_many(keep) -> Column:
+        return F.when(crowded, F.size(F.filter(F.col("_newest.ts"), keep)))
+
+    rows = rows.withColumns(
+        {
+            "_k_kept": how_many(lambda t: t >= oldest_kept),
+            "_k_minute": how_many(lambda t: t > ts - m.MINUTE_MS),
+            "_k_five": how_many(lambda t: t > ts - m.FIVE_MINUTES_MS),
+            "_k_ten": how_many(lambda t: t > ts - m.TEN_MINUTES_MS),
+        }
     )
-    kept = F.col("_kept")
-
-    def younger(width: int) -> Column:
-        return F.filter(kept, lambda e: e["ts"] > ts - width)
-
-    def total(entries: Column) -> Column:
-        return F.aggregate(
-            entries, F.lit(0).cast(m.MONEY_SUM), lambda acc, e: (acc + _zero_sum(e["spent"])).cast(m.MONEY_SUM)
-        )
-
-    def how_many(entries: Column, wanted) -> Column:
-        return F.size(F.filter(entries, wanted)).cast("bigint")
-
-    def countries(entries: Column) -> Column:
-        return F.array_compact(F.transform(entries, lambda e: e["country"]))
-
-    last = F.get(F.reverse(kept), F.lit(0))
-    context = _context(
-        minute=F.size(younger(m.MINUTE_MS)).cast("bigint"),
-        spent=total(younger(m.TEN_MINUTES_MS)),
-        previous_country=last["country"],
-        recent=countries(younger(m.TEN_MINUTES_MS)),
-        approved_total=total(kept),
-        approved_count=how_many(kept, lambda e: e["spent"].isNotNull()),
-        since=ts - last["ts"],
-        known=F.array_distinct(countries(kept)),
-        declined=how_many(younger(m.FIVE_MINUTES_MS), lambda e: e["declined"]),
+
+    def within(name: str) -> Column:
+        return F.least(F.col(name), F.col("_k_kept"))
+
+    def since(k: Column, total: str) -> Column:
+        first = F.element_at("_newest", -k)
+        return F.when(k > 0, F.col(total) - first[total]).otherwise(F.lit(0))
+
+    def countries(k: Column) -> Column:
+        all_of_them = F.col("_newest.country")
+        return F.array_compact(F.slice(all_of_them, F.size("_newest") - k + 1, k))
+
+    last = F.when(F.col("_k_kept") > 0, F.element_at("_newest", -1))
+    kept, ten = F.col("_k_kept"), within("_k_ten")
+    features = {
+        "minute": within("_k_minute").cast("bigint"),
+        "spent": since(ten, "_spent_before").cast("decimal(31,8)"),
+        "previous_country": last["country"],
+        "recent": countries(ten),
+        "approved_total": since(kept, "_spent_before").cast("decimal(31,8)"),
+        "approved_count": since(kept, "_approved_before").cast("bigint"),
+        "since": ts - last["ts"],
+        "known": F.array_distinct(countries(kept)),
+        "declined": since(within("_k_five"), "_declined_before").cast("bigint"),
+    }
+    path = F.when(crowded, F.struct(*[value.alias(name) for name, value in features.items()]))
+    return rows.withColumn("_rows_path", path).drop(
+        "_newest", "_k_kept", "_k_minute", "_k_five", "_k_ten", *totals
     )
-    path = F.when(F.col("_crowded"), F.struct(*[column.alias(name) for name, column in context.items()]))
-    return rows.withColumn("_rows_path", path).drop("_newest", "_kept")
 
 
-def _range_path(
-    rows: DataFrame, retention_ms: int, max_entries: int, keys: list[str], keeps_one_more_ms: Column
-) -> DataFrame:
+def _range_path(rows: DataFrame, retention_ms: int, max_entries: int, keys: list[str]) -> DataFrame:
     """Time frames for customers that are not crowded.
 
     A frame over ``ts_ms`` alone would include rows of the same instant with a larger id.  The order key therefore leaves
@@ -174,7 +183,7 @@ def _range_path(
     step = 2 * half
     # Rows of crowded customers do not use these frames: each sits in a partition of its own, so frames stay short.
     lane = F.when(F.col("_crowded"), F.col("_position")).otherwise(F.lit(0))
-    rows = rows.withColumn("_lane", lane).withColumn("_key", F.col("ts_ms") * step + F.col("_tie"))
+    rows = rows.withColumns({"_lane": lane, "_key": F.col("ts_ms") * step + F.col("_tie")})
     timed = Window.partitionBy(*keys, "_lane").orderBy("_key")
 
     def back(width: int) -> int:
@@ -186,15 +195,17 @@ def _range_path(
     kept = timed.rangeBetween(-back(retention_ms + 1), -1)
     edge = timed.rangeBetween(-back(retention_ms + 2), -back(retention_ms + 1) - 1)
     declined = F.when(F.col("payment_status") == m.DECLINED, F.lit(1))
-    return (
-        rows.withColumn("_n_minute", F.count(F.lit(1)).over(minute))
-        .withColumn("_declined_five", F.count(declined).over(five))
-        .withColumn("_spent_ten", F.sum("_spent").over(ten))
-        .withColumn("_recent", F.collect_list("country").over(ten))
-        .withColumn("_kept_spent", F.sum("_spent").over(kept))
-        .withColumn("_kept_n", F.count("_spent").over(kept))
-        .withColumn("_kept_known", F.collect_set("country").over(kept))
-        .withColumn("_edge_spent", F.sum("_spent").over(edge))
-        .withColumn("_edge_n", F.count("_spent").over(edge))
-        .withColumn("_edge_known", F.collect_set("country").over(edge))
+    return rows.withColumns(
+        {
+            "_n_minute": F.count(F.lit(1)).over(minute),
+            "_declined_five": F.count(declined).over(five),
+            "_spent_ten": F.sum("_spent").over(ten),
+            "_recent": F.collect_list("country").over(ten),
+            "_kept_spent": F.sum("_spent").over(kept),
+            "_kept_n": F.count("_spent").over(kept),
+            "_kept_known": F.collect_set("country").over(kept),
+            "_edge_spent": F.sum("_spent").over(edge),
+            "_edge_n": F.count("_spent").over(edge),
+            "_edge_known": F.collect_set("country").over(edge),
+        }
     )

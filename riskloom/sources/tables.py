@@ -12,7 +12,13 @@ _ORIGIN_MS = 1_704_067_200_000  # 2024-01-01T00:00:00Z
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Uses all cores for a table that comes in fewer splits than there are cores; larger tables stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def events_as_transactions(events: DataFrame, *, compression: int = 1_000) -> DataFrame:
