@@ -39,11 +39,13 @@ def with_score(contexts: DataFrame, rules: Sequence) -> DataFrame:
     points = [_checked_points(c, rule.name) for c, rule in zip(contributions, rules)]
     total = reduce(lambda a, b: a + b, points, F.lit(0))
     reasons = F.array_compact(F.array(*[c["reason"] for c in contributions]).cast("array<string>"))
-    return (
-        contexts.withColumn("risk_score", F.least(total, F.lit(m.MAX_SCORE)))
-        .withColumn("risk_level", risk_level(F.col("risk_score")))
-        .withColumn("reasons", reasons)
+    score = F.col("_score")
+    result = F.struct(
+        score.alias("risk_score"), risk_level(score).alias("risk_level"), reasons.alias("reasons")
     )
+    # A one-row generator: filters on the result must not repeat the rules.
+    rows = contexts.withColumn("_score", F.least(total, F.lit(m.MAX_SCORE)))
+    return rows.select(*contexts.columns, F.inline(F.array(result)))
 
 
 def high_risk_alerts(scored: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw messages through parsing, validation, deduplication and scoring."""
     valid = valid_transactions(checked_messages(_messages(spark, sf_dir)))
-    scored = evaluated(valid, EngineConfig(), risk_rules(), stage=False)
+    scored = evaluated(valid, EngineConfig(), risk_rules())
     return scored.select("transaction_id", "customer_id", "risk_score", "risk_level", _joined("reasons"))
 
 
@@ -241,7 +241,7 @@ def persistable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrivals = _arrivals(spark, sf_dir).withColumns(
         {"topic": F.lit("transaction.events"), "partition": F.lit(0), "offset": F.col("transaction_id").cast("bigint")}
     )
-    tagged = evaluated(arrivals, EngineConfig(), risk_rules(), arrival_batch="arrival_batch", stage=False)
+    tagged = evaluated(arrivals, EngineConfig(), risk_rules(), arrival_batch="arrival_batch")
     return persistable(*split_outcomes(tagged)).select(
         "transaction_id", "status", "risk_score", "risk_level", _joined("reasons"), "raise_alert"
     )

@@ -17,6 +17,8 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small data, but costly rows
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
