@@ -10,6 +10,10 @@ def _count(condition: Column, name: str) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.lit(1))), F.lit(0)).cast("bigint").alias(name)
 
 
+def row_count(name: str) -> Column:
+    return F.count(F.lit(1)).alias(name)
+
+
 def message_metrics() -> list[Column]:
     """Over the rows of ``with_violations``."""
     parsed = F.col("error").isNull()

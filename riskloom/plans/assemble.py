@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom import model as m
 from riskloom.config import EngineConfig
+from riskloom.operators.counters import observed, row_count
 from riskloom.operators.dedup import first_per_transaction
 from riskloom.operators.lateness import with_lateness
 from riskloom.operators.parse import parse_messages
@@ -53,8 +54,9 @@ def evaluated(
     if valid.isStreaming:
         from riskloom.streaming.risk_stream import evaluated_stream, unique_stream
 
-        unique = unique_stream(valid, config.dedup_retention_hours * 3_600_000)
-        contexts = evaluated_stream(unique, config)
+        arrived = observed(valid, "arrived", [row_count("transactions_arrived")])
+        unique = unique_stream(arrived, config.dedup_retention_hours * 3_600_000)
+        contexts = evaluated_stream(observed(unique, "unique", [row_count("transactions_unique")]), config)
     else:
         unique = first_per_transaction(valid)
         if stage:  # counted, split and scored below: do not parse and shuffle for each of them

@@ -63,6 +63,10 @@ class MetricTotals(StreamingQueryListener):
     def __post_init__(self) -> None:
         super().__init__()
 
+    @property
+    def duplicates_dropped(self) -> int:
+        return self.totals.get("transactions_arrived", 0) - self.totals.get("transactions_unique", 0)
+
     def onQueryStarted(self, event) -> None:
         pass
 

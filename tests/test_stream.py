@@ -14,7 +14,7 @@ from riskloom.config import EngineConfig
 from riskloom.sinks.ledger import FileLedger
 from riskloom.sinks.topics import TopicSinks
 from riskloom.sources.log import from_payloads, read_raw_table
-from riskloom.streaming.job import configure_for_streaming, start_stream
+from riskloom.streaming.job import MetricTotals, configure_for_streaming, start_stream
 from riskloom.streaming.processors import CARRIED_SCHEMA
 from riskloom.streaming.risk_stream import evaluated_stream, unique_stream
 
@@ -208,6 +208,8 @@ def test_the_whole_job(spark, tmp_path):
         from_payloads(spark, payloads).coalesce(1).write.mode("append").parquet(raw)
 
     feed(*[payload(f"b{i}", seconds=5 * i, amount=1000) for i in (3, 0, 5, 1, 4, 2)], "poison", payload("b0"), payload("n", amount=-1))
+    metrics = MetricTotals()
+    spark.streams.addListener(metrics)
     job = start_stream(
         read_raw_table(spark, raw, streaming=True),
         EngineConfig(),
@@ -222,8 +224,13 @@ def test_the_whole_job(spark, tmp_path):
         assert wait_for(lambda: ledger.read("transactions").count() >= 6)
         feed(payload("late", seconds=60))
         assert wait_for(lambda: ledger.read("transactions").where(F.col("status") == "LATE").count() == 1)
+        assert wait_for(lambda: metrics.totals.get("late_events") == 1)
     finally:
         job.stop()
+        spark.streams.removeListener(metrics)
+    expected = {"transactions_rejected": 1, "messages_malformed": 1, "risk_evaluated": 6, "high_risk_alerts": 1}
+    assert {name: metrics.totals[name] for name in expected} == expected
+    assert metrics.duplicates_dropped == 1
     scores = {r["transaction_id"]: (r["risk_score"], r["reasons"]) for r in ledger.read("risk_scores").collect()}
     assert sorted(scores) == [f"b{i}" for i in range(6)]
     assert scores["b5"] == (80, '["HIGH_SPENDING_VELOCITY","HIGH_TRANSACTION_VELOCITY"]')
