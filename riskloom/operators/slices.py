@@ -114,4 +114,4 @@ def with_history_at_scale(
     history = with_history(
         both, retention_ms=retention_ms, max_entries=max_entries, keys=("customer_id", "_slice")
     )
-    return history.where(~F.col("_halo")).drop("_slice", "_halo")
+    return history.where(~F.col("_halo")).select(*transactions.columns, *m.CONTEXT_COLUMNS)

@@ -103,6 +103,7 @@ def test_hot_customer_is_sliced_without_changing_results(spark, span):
     assert [r["customer_id"] for r in hot_customers(df, limits).collect()] == ["hot"]
     result = with_history_at_scale(df, limits=limits)
     assert result.count() == len(rows)
+    assert result.columns == with_history(df).columns
     assert collected(result) == contexts(rows)
 
 
