@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, fields
 from riskloom import model as m
 
 
+# The defaults in both classes.
 @dataclass(frozen=True, repr=False)
 class DatabaseConfig:
     url: str = "jdbc:postgresql://postgres:5432/fraud"

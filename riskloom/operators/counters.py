@@ -14,6 +14,7 @@ def row_count(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
+# Fixed values in the two functions below: metric names.
 def message_metrics() -> list[Column]:
     """Over the rows of ``with_violations``."""
     parsed = F.col("error").isNull()

@@ -70,6 +70,9 @@ def _above_average(multiplier: Decimal, min_history: int) -> Column:
     )
 
 
+# Fixed values in the classes below: names (they set the order), scores, reasons, setting keys and defaults.
+
+
 class AmountAnomaly(ThresholdRule):
     """An amount far above the customer's recent average."""
 

@@ -21,6 +21,13 @@ TRANSACTION_ID_MISSING = "PIPELINE_TRANSACTION_ID_MISSING"
 CUSTOMER_ID_MISSING = "PIPELINE_CUSTOMER_ID_MISSING"
 TIMESTAMP_MISSING = "PIPELINE_TIMESTAMP_MISSING"
 SUPPORTED_CURRENCIES = ("EUR", "USD", "GBP")
+# Violation messages.
+AMOUNT_MESSAGE = "amount must be greater than 0 but was "
+CURRENCY_MESSAGE = "currency not supported: "
+REQUIRED_MESSAGE = "required field is missing or blank: "
+TRANSACTION_ID_MESSAGE = "transactionId is required (deduplication key)"
+CUSTOMER_ID_MESSAGE = "customerId is required (partition key)"
+TIMESTAMP_MESSAGE = "timestamp is required (event time)"
 
 
 @runtime_checkable
@@ -47,7 +54,7 @@ class MinimumAmountRule:
 
     def violations(self, evaluated_at: Column) -> Column:
         amount = F.col("amount")
-        message = F.concat(F.lit("amount must be greater than 0 but was "), plain_number(amount))
+        message = F.concat(F.lit(AMOUNT_MESSAGE), plain_number(amount))
         return violation_list(violation_if(amount <= 0, AMOUNT_NOT_POSITIVE, message))
 
 
@@ -65,7 +72,7 @@ class RequiredFieldsRule:
 
     def violations(self, evaluated_at: Column) -> Column:
         def missing(broken: Column, shown: str) -> Column:
-            return violation_if(broken, REQUIRED_FIELD_MISSING, f"required field is missing or blank: {shown}")
+            return violation_if(broken, REQUIRED_FIELD_MISSING, REQUIRED_MESSAGE + shown)
 
         return violation_list(
             *[missing(is_blank(F.col(column)), shown) for column, shown in self.texts],
@@ -78,18 +85,16 @@ class SupportedCurrencyRule:
 
     def violations(self, evaluated_at: Column) -> Column:
         currency = F.col("currency")
-        message = F.concat(F.lit("currency not supported: "), currency)
+        message = F.concat(F.lit(CURRENCY_MESSAGE), currency)
         return violation_list(violation_if(~currency.isin(*SUPPORTED_CURRENCIES), CURRENCY_NOT_SUPPORTED, message))
 
 
 def invariant_violations() -> Column:
     """What every run needs whatever plug-ins are present: the two keys and the event time."""
     return violation_list(
-        violation_if(
-            is_blank(F.col("transaction_id")), TRANSACTION_ID_MISSING, "transactionId is required (deduplication key)"
-        ),
-        violation_if(is_blank(F.col("customer_id")), CUSTOMER_ID_MISSING, "customerId is required (partition key)"),
-        violation_if(F.col("timestamp").isNull(), TIMESTAMP_MISSING, "timestamp is required (event time)"),
+        violation_if(is_blank(F.col("transaction_id")), TRANSACTION_ID_MISSING, TRANSACTION_ID_MESSAGE),
+        violation_if(is_blank(F.col("customer_id")), CUSTOMER_ID_MISSING, CUSTOMER_ID_MESSAGE),
+        violation_if(F.col("timestamp").isNull(), TIMESTAMP_MISSING, TIMESTAMP_MESSAGE),
     )
 
 
