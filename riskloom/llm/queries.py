@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from riskloom.llm import op2_line_dedup
 from riskloom.llm.op1_toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup.op2_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_line_dedup": op2_line_dedup.SQL,
+}
