@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from riskloom.llm import op2_line_dedup
+from riskloom.llm import op2_line_dedup, op6_ngram_join
 from riskloom.llm.op1_toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup.op2_line_dedup,
+    "op6_ngram_join": op6_ngram_join.op6_ngram_join,
 }
 
 ORACLE = {
     "op2_line_dedup": op2_line_dedup.SQL,
+    "op6_ngram_join": op6_ngram_join.SQL,
 }
