@@ -17,16 +17,9 @@ def _part(doc_id: Column) -> Column:
 
 def trained(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
     """Dictionaries from remainder 0, calibration from remainder 2; remainder 1 is held out."""
-    labels = (
-        table(spark, sf_dir, "labels")
-        .filter("toxic is not null and doc_id is not null")
-        .filter(_part(F.col("doc_id")) != 1)
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("label"))
-    )
-    labelled = documents.select("doc_id", "text").join(labels, "doc_id")
     part = _part(F.col("doc_id"))
-    return toxicity.fit(labelled.filter(part == 0), labelled.filter(part == 2))
+    labels = table(spark, sf_dir, "labels").filter(part != 1)
+    return toxicity.fit(documents, labels.select("doc_id", F.col("toxic").alias("label"), (part == 2).alias("calibrates")))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

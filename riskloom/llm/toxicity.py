@@ -4,9 +4,10 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A
 window is compressed with either dictionary and counted by the bytes the toxic one saves. The weights of those counts
 are calibrated on labelled rows that no dictionary has seen.
 
-Training reads whole texts of all labelled rows. The dictionaries hold the words whose document frequencies differ most
-between the classes, at most ``dictionary_bytes`` each, strongest last, where zstandard finds them cheapest. Only those
-few words, and the window figures of at most ``calibration_rows`` rows of a class, reach the driver.
+Training reads the whole texts of at most ``rows_per_class`` labelled rows of a class; scoring reads all rows. The
+dictionaries hold the words whose document frequencies differ most between the classes, at most ``dictionary_bytes`` each,
+strongest last, where zstandard finds them cheapest. Only those words and the window counts of the calibration rows
+reach the driver.
 
 Defined results: null and empty texts have no window and get the score of a text without hits; rows with a null label
 are not learned from; a document labelled twice counts as toxic if one label says so; with no rows of a class the score
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import WORD, require
+from riskloom.llm.shared import WORD, require, stored
 
 WINDOW_BYTES = 40
 GAPS = 16  # window gaps are counted up to this many bytes
@@ -130,19 +131,18 @@ def _score_udf(model: ToxicityModel):
 
 def _contrast(labelled: DataFrame, size: int) -> tuple[bytes, bytes]:
     """The content of both dictionaries: words by how strongly their document frequencies speak for the class."""
-    texts = labelled.select("label", F.array_distinct(F.split(F.lower("text"), WORD)).alias("words"), "text")
-    counts = (
-        texts.select("label", F.xxhash64("text").alias("copy"), F.explode("words").alias("word"))
+    once = labelled.groupBy(F.xxhash64("text").alias("copy"), "label").agg(F.min("text").alias("text"))  # copies speak once
+    n = {int(r["label"]): float(r["n"]) for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if 0 not in n or 1 not in n:
+        return b"", b""
+    counts = stored(
+        once.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), WORD))).alias("word"))
         .filter(F.length("word").between(3, 40))
-        .distinct()  # exact copies of a text speak once
         .groupBy("word")
         .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary"))
-        .filter(F.greatest("toxic", "ordinary") >= 5)
+        .filter(F.greatest("toxic", "ordinary") >= 5),
+        "word-counts",
     )
-    sizes = labelled.groupBy("label").agg(F.count_distinct("text").alias("n")).collect()
-    n = {int(r["label"]): float(r["n"]) for r in sizes}
-    if 0 not in n or 1 not in n:
-        return b"", b""
     share = {c: (F.col(c) + 0.5) / (k + 1) for c, k in (("toxic", n[1]), ("ordinary", n[0]))}
     error = F.sqrt(share["toxic"] * (1 - share["toxic"]) / n[1] + share["ordinary"] * (1 - share["ordinary"]) / n[0])
 
@@ -177,25 +177,38 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 
 
 def fit(
-    training: DataFrame,
-    calibration: DataFrame,
+    documents: DataFrame,
+    labels: DataFrame,
     *,
+    rows_per_class: int = 15_000,
     dictionary_bytes: int = 1024,
-    calibration_rows: int = 10_000,
     window_bytes: int = WINDOW_BYTES,
 ) -> ToxicityModel:
-    """Learns from two disjoint tables of ``text, label``. ``calibration_rows`` is the bound for each class."""
-    for df in (training, calibration):
-        require(df, ("text", "label"))
-    learned, held = (
-        df.select(F.coalesce(df["text"], F.lit("")).alias("text"), df["label"].cast("int").alias("label")).filter("label in (0, 1)")
-        for df in (training, calibration)
+    """Learns from ``documents`` (doc_id, text) and ``labels`` (doc_id, label, calibrates).
+
+    Rows where ``calibrates`` is false train the dictionaries, the others calibrate. Of either kind and class at most
+    ``rows_per_class`` documents are used, those with the smallest hash of the id. With that bound the list of ids is a
+    few MB at most; it is broadcast, so that no text is shuffled to meet its label.
+    """
+    require(documents, ("doc_id", "text"))
+    require(labels, ("doc_id", "label", "calibrates"))
+    merged = (
+        labels.filter("doc_id is not null and label in (0, 1)")
+        .groupBy("doc_id", "calibrates")
+        .agg(F.max("label").cast("int").alias("label"))
+        .withColumn("rank", F.xxhash64("doc_id"))
     )
-    toxic, ordinary = _contrast(learned, dictionary_bytes)
-    keyed = held.withColumn("order", F.xxhash64("text"))
-    chosen = [keyed.filter(F.col("label") == y).orderBy("order").limit(calibration_rows) for y in (0, 1)]
+    parts = [
+        merged.filter((F.col("label") == y) & (F.col("calibrates") == c)).orderBy("rank").limit(rows_per_class)
+        for y in (0, 1)
+        for c in (False, True)
+    ]
+    chosen = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).select("doc_id", "label", "calibrates")
+    texts = documents.select(documents["doc_id"], F.coalesce(documents["text"], F.lit("")).alias("text"))
+    labelled = stored(texts.join(F.broadcast(chosen), "doc_id"), "labelled")
+    toxic, ordinary = _contrast(labelled.filter(~F.col("calibrates")), dictionary_bytes)
     counts = _counts_udf(toxic, ordinary, window_bytes)(F.col("text"))
-    rows = chosen[0].unionAll(chosen[1]).select("label", counts.alias("counts")).toPandas()
+    rows = labelled.filter("calibrates").select("label", counts.alias("counts")).toPandas()
     y = rows["label"].to_numpy(float)
     if len(set(y)) < 2:
         return ToxicityModel(toxic, ordinary, (), window_bytes, float(y.mean()) if len(y) else 0.0)
