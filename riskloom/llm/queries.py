@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from riskloom.llm import op2_line_dedup, op4_decontaminate, op6_ngram_join
 from riskloom.llm.op1_toxicity import op1_toxicity
+from riskloom.llm.op5_packing import op5_packing
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup.op2_line_dedup,
     "op4_decontaminate": op4_decontaminate.op4_decontaminate,
+    "op5_packing": op5_packing,
     "op6_ngram_join": op6_ngram_join.op6_ngram_join,
 }
 
