@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskloom.llm import op2_line_dedup, op4_decontaminate, op6_ngram_join
+from riskloom.llm import op2_line_dedup, op4_decontaminate, op6_ngram_join, op7_warc
 from riskloom.llm.op1_toxicity import op1_toxicity
 from riskloom.llm.op5_packing import op5_packing
+from riskloom.llm.op8_embedding_dedup import op8_embedding_dedup
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -12,9 +13,12 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate.op4_decontaminate,
     "op5_packing": op5_packing,
     "op6_ngram_join": op6_ngram_join.op6_ngram_join,
+    "op7_warc": op7_warc.op7_warc,
+    "op8_embedding_dedup": op8_embedding_dedup,
 }
 
 ORACLE = {
     "op2_line_dedup": op2_line_dedup.SQL,
     "op6_ngram_join": op6_ngram_join.SQL,
+    "op7_warc": op7_warc.SQL,
 }
