@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import op2_line_dedup, op4_decontaminate, op6_ngram_join, op7_warc
+from riskloom.llm import op2_line_dedup, op4_decontaminate, op6_ngram_join, op7_warc, op9_chat
 from riskloom.llm.op1_toxicity import op1_toxicity
 from riskloom.llm.op5_packing import op5_packing
 from riskloom.llm.op8_embedding_dedup import op8_embedding_dedup
@@ -15,10 +15,12 @@ QUERIES = {
     "op6_ngram_join": op6_ngram_join.op6_ngram_join,
     "op7_warc": op7_warc.op7_warc,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_chat": op9_chat.op9_chat,
 }
 
 ORACLE = {
     "op2_line_dedup": op2_line_dedup.SQL,
     "op6_ngram_join": op6_ngram_join.SQL,
     "op7_warc": op7_warc.SQL,
+    "op9_chat": op9_chat.SQL,
 }
