@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskloom.llm import op2_line_dedup, op4_decontaminate, op6_ngram_join, op7_warc, op9_chat
 from riskloom.llm.op1_toxicity import op1_toxicity
+from riskloom.llm.op10_pii import op10_pii
 from riskloom.llm.op5_packing import op5_packing
 from riskloom.llm.op8_embedding_dedup import op8_embedding_dedup
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_warc": op7_warc.op7_warc,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat": op9_chat.op9_chat,
+    "op10_pii": op10_pii,
 }
 
 ORACLE = {
