@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from riskloom.llm import op2_line_dedup, op4_decontaminate, op6_ngram_join, op7_warc, op9_chat
 from riskloom.llm.op1_toxicity import op1_toxicity
-from riskloom.llm.op10_pii import op10_pii
+from riskloom.llm.op3_secrets import op3_secrets
 from riskloom.llm.op5_packing import op5_packing
 from riskloom.llm.op8_embedding_dedup import op8_embedding_dedup
+from riskloom.llm.op10_pii import op10_pii
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup.op2_line_dedup,
+    "op3_secrets": op3_secrets,
     "op4_decontaminate": op4_decontaminate.op4_decontaminate,
     "op5_packing": op5_packing,
     "op6_ngram_join": op6_ngram_join.op6_ngram_join,
