@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 _ISO_INSTANT = (
     r"^[+-]?\d{4,6}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{0,9})?(Z|[+-]\d{2}(:?\d{2})?)$"
 )
-_EPOCH_SECONDS = r"^-?\d{1,13}(\.\d{1,9})?$"
+# The second form is how a large JSON number comes out of its reader.
+_EPOCH_SECONDS = r"^-?(\d{1,13}(\.\d{1,9})?|\d(\.\d{1,17})?E1?\d)$"
 
 
 def parse_instant(text: Column) -> Column:
@@ -26,7 +27,7 @@ def parse_instant(text: Column) -> Column:
 
 
 def format_instant(ts: Column) -> Column:
-    """TIMESTAMP to ``2026-10-06T13:10:01Z``; the fraction has 0, 3 or 6 digits, whichever is needed."""
+    """TIMESTAMP to ``2027-03-02T08:20:07Z``; the fraction has 0, 3 or 6 digits, whichever is needed."""
     micros = F.unix_micros(ts)
     seconds = F.floor(micros / F.lit(1_000_000).cast("decimal(7,0)")).cast("bigint")
     fraction = F.pmod(micros, F.lit(1_000_000))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import model as m
 
 
-def first_per_transaction(transactions: DataFrame, arrival: Sequence[str] = m.COORDINATES) -> DataFrame:
+def first_per_transaction(transactions: DataFrame, arrival: Sequence[str | Column] = m.COORDINATES) -> DataFrame:
     """Keeps the first row of each ``transaction_id`` by ``arrival`` order, whatever the later ones contain.
 
     Filtering on ``row_number() = 1`` lets Spark keep one row per id on the map side already, so an id that repeats a

@@ -19,21 +19,48 @@ def lateness(ts_ms: Column, watermark_ms: Column, allowed_ms: int = 0) -> Column
     )
 
 
+_GROUP_BITS = 16
+_LEVELS = 3
+
+
+def _newest_before(newest: DataFrame, level: int = _LEVELS) -> DataFrame:
+    """``key, before``: the greatest ``newest`` of all smaller keys, NULL for the first.
+
+    Keys are grouped by their upper bits, level by level, so that no window holds more than 2^16 rows whatever the
+    number of keys: a key looks at the smaller ones of its group, and its group at the smaller groups.
+    """
+    group = F.shiftright("key", _GROUP_BITS) if level else F.lit(0).cast("bigint")
+    grouped = newest.withColumn("_group", group)
+    smaller = Window.partitionBy("_group").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    within = grouped.select("key", "_group", F.max("newest").over(smaller).alias("_within"))
+    if not level:
+        return within.select("key", F.col("_within").alias("before"))
+    groups = grouped.groupBy(F.col("_group").alias("key")).agg(F.max("newest").alias("newest"))
+    above = _newest_before(groups, level - 1).select(F.col("key").alias("_group"), F.col("before").alias("_above"))
+    return within.join(above, "_group").select("key", F.greatest("_within", "_above").alias("before"))
+
+
 def batch_watermarks(transactions: DataFrame, batch: str, out_of_orderness_ms: int) -> DataFrame:
     """``batch, watermark_ms``: the newest event time of all earlier batches less the allowed disorder.
 
-    Rows combine to one per batch before anything is ordered, so the running maximum only sees the batches.
+    Rows combine to one per batch before anything is ordered.
     """
-    newest = transactions.groupBy(batch).agg(F.max("ts_ms").alias("_newest"))
-    earlier = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
-    return newest.select(batch, (F.max("_newest").over(earlier) - out_of_orderness_ms).alias("watermark_ms"))
+    numbered = transactions.where(F.col(batch).isNotNull())
+    newest = numbered.groupBy(F.col(batch).cast("bigint").alias("key")).agg(F.max("ts_ms").alias("newest"))
+    return _newest_before(newest).select(
+        F.col("key").alias(batch), (F.col("before") - out_of_orderness_ms).alias("watermark_ms")
+    )
 
 
 def with_lateness(
     transactions: DataFrame, batch: str, out_of_orderness_ms: int, allowed_ms: int = 0
 ) -> DataFrame:
-    """Adds ``watermark_ms`` and ``lateness`` for rows that arrived in numbered batches."""
+    """Adds ``watermark_ms`` and ``lateness`` for rows that arrived in numbered batches.
+
+    A row without a batch number has no watermark and is on time.  Spark broadcasts the marks if they are small, and
+    otherwise splits a batch with very many rows as a skewed join.
+    """
     marks = batch_watermarks(transactions, batch, out_of_orderness_ms)
-    return transactions.join(marks, batch).withColumn(
+    return transactions.join(marks, batch, "left").withColumn(
         "lateness", lateness(F.col("ts_ms"), F.col("watermark_ms"), allowed_ms)
     )

@@ -36,6 +36,20 @@ def late_to_persist(late: DataFrame) -> DataFrame:
     )
 
 
+def persistable_of(tagged: DataFrame) -> DataFrame:
+    """Scored and late rows of one frame in one pass; late rows have neither risk nor alert."""
+    late = F.col("lateness") == "LATE"
+    return tagged.select(
+        *m.TRANSACTION_COLUMNS,
+        *[c for c in m.COORDINATES if c in tagged.columns],
+        F.when(late, m.STATUS_LATE).otherwise(m.STATUS_PROCESSED).alias("status"),
+        F.when(~late, F.col("risk_score").cast("int")).alias("risk_score"),
+        F.when(~late, F.col("risk_level")).alias("risk_level"),
+        F.when(~late, F.col("reasons")).alias("reasons"),
+        (~late & is_alert(F.col("risk_level"))).alias("raise_alert"),
+    )
+
+
 def persistable(scored: DataFrame, late: DataFrame) -> DataFrame:
     return processed_to_persist(scored).unionByName(late_to_persist(late))
 

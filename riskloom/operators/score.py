@@ -24,27 +24,31 @@ def is_alert(level: Column) -> Column:
     return level == m.LEVEL_HIGH
 
 
-def _checked_points(contribution: Column, name: str) -> Column:
+def _checked_points(contribution: Column, name: str, applies: Column) -> Column:
     """A rule that answers with a score outside 0..100 fails the query, as does a rule that raises."""
     score = contribution["score"]
     points = F.when(score.between(0, m.MAX_SCORE), score).otherwise(
         F.raise_error(F.concat(F.lit(f"rule {name}: score must be within 0..100: "), score.cast("string"))).cast("int")
     )
-    return F.when(contribution["reason"].isNotNull(), points).otherwise(F.lit(0))
+    return F.when(applies & contribution["reason"].isNotNull(), points).otherwise(F.lit(0))
 
 
-def with_score(contexts: DataFrame, rules: Sequence) -> DataFrame:
-    """Adds ``risk_score``, ``risk_level`` and ``reasons``; reasons follow the order of the rules."""
+def with_score(contexts: DataFrame, rules: Sequence, applies: Column | None = None) -> DataFrame:
+    """Adds ``risk_score``, ``risk_level`` and ``reasons``; reasons follow the order of the rules.
+
+    Rows to which ``applies`` does not apply are not scored: no rule can fail on them, and the three stay NULL.
+    """
+    applies = F.lit(True) if applies is None else applies
     contributions = [rule.contribution() for rule in rules]
-    points = [_checked_points(c, rule.name) for c, rule in zip(contributions, rules)]
+    points = [_checked_points(c, rule.name, applies) for c, rule in zip(contributions, rules)]
     total = reduce(lambda a, b: a + b, points, F.lit(0))
     reasons = F.array_compact(F.array(*[c["reason"] for c in contributions]).cast("array<string>"))
     score = F.col("_score")
     result = F.struct(
-        score.alias("risk_score"), risk_level(score).alias("risk_level"), reasons.alias("reasons")
+        score.alias("risk_score"), F.when(applies, risk_level(score)).alias("risk_level"), F.when(applies, reasons).alias("reasons")
     )
     # A one-row generator: filters on the result must not repeat the rules.
-    rows = contexts.withColumn("_score", F.least(total, F.lit(m.MAX_SCORE)))
+    rows = contexts.withColumn("_score", F.when(applies, F.least(total, F.lit(m.MAX_SCORE))))
     return rows.select(*contexts.columns, F.inline(F.array(result)))
 
 

@@ -17,30 +17,27 @@ from riskloom import model as m
 from riskloom.operators.history import with_history
 from riskloom.session import enable_checkpoints
 
-MAX_HOT_CUSTOMERS = 20_000
 ROWS_PER_SLICE = 1_000_000
 
 
 @dataclass(frozen=True)
 class SkewLimits:
-    """A customer is hot above ``rows_per_slice`` rows and above ``1 / max_hot`` of all rows.
+    """A customer is hot above ``rows_per_slice`` rows, whatever the size of the input.
 
-    The second condition bounds the list of hot customers by ``max_hot`` for any input, which is what makes it safe to
-    broadcast.
+    There can be as many hot customers as the input has slices, so their list is joined, and Spark broadcasts it only if
+    its size allows.
     """
 
     rows_per_slice: int = ROWS_PER_SLICE
-    max_hot: int = MAX_HOT_CUSTOMERS
 
 
 def hot_customers(transactions: DataFrame, limits: SkewLimits = SkewLimits()) -> DataFrame | None:
     """``customer_id, customer_rows`` of the hot customers, or None.  Reads one column; counts combine before the shuffle."""
     counts = transactions.groupBy("customer_id").agg(F.count(F.lit(1)).alias("customer_rows"))
-    most, total = counts.agg(F.max("customer_rows"), F.sum("customer_rows")).first()
-    threshold = max(limits.rows_per_slice, (total or 0) // limits.max_hot)
-    if most is None or most <= threshold:
+    most = counts.agg(F.max("customer_rows")).first()[0]
+    if most is None or most <= limits.rows_per_slice:
         return None
-    return counts.where(F.col("customer_rows") > threshold)
+    return counts.where(F.col("customer_rows") > limits.rows_per_slice)
 
 
 def sliced(hot_rows: DataFrame, total_rows: int, max_entries: int, rows_per_slice: int) -> DataFrame:
@@ -65,7 +62,7 @@ def sliced(hot_rows: DataFrame, total_rows: int, max_entries: int, rows_per_slic
     in_part = Window.partitionBy("customer_id", "_part").orderBy("ts_ms", "transaction_id")
     placed = (
         ranged.withColumn("_rank", F.row_number().over(in_part))
-        .join(F.broadcast(offsets), ["customer_id", "_part"])
+        .join(offsets, ["customer_id", "_part"])
         .withColumn("_at", F.col("_before") + F.col("_rank") - 1)
     )
     own = F.floor(F.col("_at") / F.lit(length).cast("decimal(18,0)")).cast("bigint")
@@ -101,7 +98,7 @@ def with_history_at_scale(
     if hot is None:
         return with_history(transactions, retention_ms=retention_ms, max_entries=max_entries)
     hot_total = hot.agg(F.sum("customer_rows")).first()[0]
-    hot_ids = F.broadcast(hot.select("customer_id"))
+    hot_ids = hot.select("customer_id")
     calm = (
         transactions.join(hot_ids, "customer_id", "left_anti")
         .withColumn("_slice", F.lit(0).cast("bigint"))

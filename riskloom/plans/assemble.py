@@ -14,7 +14,7 @@ from riskloom.operators.counters import observed, row_count
 from riskloom.operators.dedup import first_per_transaction
 from riskloom.operators.lateness import with_lateness
 from riskloom.operators.parse import parse_messages
-from riskloom.operators.route import persistable
+from riskloom.operators.route import persistable_of
 from riskloom.operators.score import high_risk_alerts, with_score
 from riskloom.operators.slices import SkewLimits, with_history_at_scale
 from riskloom.operators.validate import dead_letters, valid_transactions, with_violations
@@ -58,7 +58,8 @@ def evaluated(
         unique = unique_stream(arrived, config.dedup_retention_hours * 3_600_000)
         contexts = evaluated_stream(observed(unique, "unique", [row_count("transactions_unique")]), config)
     else:
-        unique = first_per_transaction(valid)
+        order = m.COORDINATES if arrival_batch is None else (F.col(arrival_batch).asc_nulls_last(), *m.COORDINATES)
+        unique = first_per_transaction(valid, order)
         if stage:  # counted, split and scored below: do not parse and shuffle for each of them
             unique = staged(unique, "transactions")
         if arrival_batch is None:
@@ -79,11 +80,7 @@ def evaluated(
         )
         if arrival_batch is not None:
             contexts = contexts.unionByName(unique.where(F.col("lateness") == "LATE"), allowMissingColumns=True)
-    scored = with_score(contexts, rules)
-    is_late = F.col("lateness") == "LATE"
-    for name in ("risk_score", "risk_level", "reasons"):
-        scored = scored.withColumn(name, F.when(~is_late, F.col(name)))
-    return scored
+    return with_score(contexts, rules, F.col("lateness") != "LATE")
 
 
 def split_outcomes(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,6 +113,6 @@ def assemble(
         outcomes=outcomes,
         invalid=dead_letters(checked),
         late=late,
-        persistable=persistable(outcomes, late),
+        persistable=persistable_of(tagged),
         alerts=high_risk_alerts(outcomes),
     )

@@ -328,6 +328,21 @@ SELECT id AS transaction_id, arrival_batch, watermark_ms,
   CASE WHEN watermark_ms IS NULL OR ts_ms > watermark_ms THEN 'ON_TIME'
     WHEN ts_ms > watermark_ms - 120000 THEN 'TOLERATED' ELSE 'LATE' END AS lateness
 FROM arrived""",
+        "tolerated_results": f"""WITH {_ARRIVALS},
+in_time AS (SELECT * FROM arrived WHERE watermark_ms IS NULL OR ts_ms > watermark_ms - 120000),
+{_history("in_time")}, {_rules({})}, {_scored()}
+SELECT s.id AS transaction_id, s.risk_score, s.risk_level, s.reasons FROM scored s JOIN arrived a ON a.id = s.id
+WHERE a.ts_ms <= a.watermark_ms""",
+        "outcome_counters": f"""WITH {_ARRIVALS},
+in_time AS (SELECT * FROM arrived WHERE watermark_ms IS NULL OR ts_ms > watermark_ms - 120000),
+{_history("in_time")}, {_rules({})}, {_scored()}
+SELECT (SELECT count(*) FROM scored) AS risk_evaluated,
+  (SELECT count(*) FROM scored WHERE risk_level = 'HIGH') AS high_risk_alerts,
+  (SELECT count(*) FROM arrived WHERE ts_ms <= watermark_ms - 120000) AS late_events,
+  (SELECT count(*) FROM arrived WHERE ts_ms <= watermark_ms AND ts_ms > watermark_ms - 120000) AS late_events_tolerated""",
+        "unique_by_arrival": f"""WITH {_ARRIVALS}
+SELECT id AS transaction_id, arrival_batch - CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS arrival_batch,
+  CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 0 ELSE 1 END AS "partition" FROM arrived""",
         "persistable_events": f"""WITH {_ARRIVALS},
 in_time AS (SELECT * FROM arrived WHERE watermark_ms IS NULL OR ts_ms > watermark_ms),
 {_history("in_time")}, {_rules({})}, {_scored()}
@@ -347,7 +362,7 @@ SELECT customer AS key, '{{"alertId":"high-risk-v1-' || id || '","transactionId"
 SELECT transaction_id AS key, '{{"source":"' || source || '","code":"' || code || '","detail":"' || detail
   || '","transactionId":' || coalesce(CAST(to_json(transaction_id) AS VARCHAR), 'null')
   || ',"payload":' || CAST(to_json(payload) AS VARCHAR) || ',"topic":"' || topic || '","partition":' || "partition"
-  || ',"offset":' || "offset" || ',"detectedAt":"2026-10-06T13:10:01Z"}}' AS value FROM letters""",
+  || ',"offset":' || "offset" || ',"detectedAt":"2027-03-02T08:20:07Z"}}' AS value FROM letters""",
         "stored_transactions": f"""{_SCORED}
 SELECT id AS transaction_id, customer AS customer_id, 'merchant-1' AS merchant_id,
   CAST(CAST(amount AS DECIMAL(19,4)) AS DOUBLE) AS amount, 'EUR' AS currency, country, {_TABLE_COLUMNS},

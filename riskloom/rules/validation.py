@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import UTC, datetime, timedelta
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
@@ -98,6 +99,15 @@ def invariant_violations() -> Column:
     )
 
 
+_TIMES = ("timestamp", "evaluated_at")
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+
+
+def _instant(micros: str | None) -> datetime | None:
+    """A time in UTC, or None where it is missing."""
+    return None if micros is None else _EPOCH + timedelta(microseconds=int(micros))
+
+
 class PandasValidationRule:
     """Adapter for a rule written in Python: ``check(row) -> [(code, message), ...]``.
 
@@ -115,14 +125,18 @@ class PandasValidationRule:
         def run(rows: pd.DataFrame) -> pd.Series:
             found = []
             for row in rows.to_dict("records"):
+                row = {k: _instant(v) if k in _TIMES else v for k, v in row.items()}
                 try:
                     found.append([{"code": code, "message": message} for code, message in check(row)])
                 except Exception as error:
                     found.append([{"code": RULE_ERROR, "message": f"{name} failed: {error!r}"}])
             return pd.Series(found)
 
-        row = F.struct(*[F.col(c) for c in m.TRANSACTION_COLUMNS], evaluated_at.alias("evaluated_at"))
-        return run(row)
+        # Times go as text of their microseconds: the nanoseconds of pandas end in the year 2262, and a missing number
+        # would turn the others into floats.
+        given = {c: F.col(c) for c in m.TRANSACTION_COLUMNS} | {"evaluated_at": evaluated_at}
+        sent = {c: F.unix_micros(v).cast("string") if c in _TIMES else v for c, v in given.items()}
+        return run(F.struct(*[v.alias(c) for c, v in sent.items()]))
 
 
 BUILT_IN = (MinimumAmountRule, RequiredFieldsRule, SupportedCurrencyRule)

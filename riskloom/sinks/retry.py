@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, repeat, takewhile
+from operator import mul
 from typing import TypeVar
 
 _LOG = logging.getLogger(__name__)
@@ -19,9 +21,11 @@ class RetryPolicy:
     max_s: float = 5.0
     multiplier: float = 2.0
 
-    def backoff(self, attempt: int) -> float:
-        """Seconds before retry number ``attempt``, counted from 1."""
-        return min(self.initial_s * self.multiplier ** max(0, attempt - 1), self.max_s)
+    def pauses(self) -> Iterator[float]:
+        """Seconds to wait after each failure: growing, then constant."""
+        growing = accumulate(repeat(self.multiplier), mul, initial=self.initial_s)
+        growing = takewhile(lambda pause: pause < self.max_s, growing)
+        return chain(growing, repeat(self.max_s))
 
 
 class GivingUp(RuntimeError):
@@ -37,19 +41,17 @@ def with_retries(
     sleep: Callable[[float], None] = time.sleep,
     clock: Callable[[], float] = time.monotonic,
 ) -> _T:
-    """Runs ``write`` until it succeeds.  Errors that are not ``retryable`` are raised at once."""
-    started, attempt = clock(), 0
-    while True:
+    """Runs ``write`` until it succeeds or the deadline has passed.  Errors that are not ``retryable`` are raised at once."""
+    deadline = clock() + policy.max_elapsed_s
+    for number, pause in enumerate(policy.pauses(), start=1):
         try:
             return write()
         except Exception as error:
             if not retryable(error):
                 raise
-            elapsed = clock() - started
-            if elapsed >= policy.max_elapsed_s:
-                raise GivingUp(f"giving up after {elapsed:.0f}s and {attempt} retries: {error}") from error
-            attempt += 1
-            on_retry(attempt)
-            pause = policy.backoff(attempt)
-            _LOG.warning("write failed (attempt %d), retrying in %.1f s: %s", attempt, pause, error)
-            sleep(pause)
+            if clock() >= deadline:
+                raise GivingUp(f"no success within {policy.max_elapsed_s:g} s, last error: {error}") from error
+            _LOG.warning("failure %d, next try in %g s: %s", number, pause, error)
+        on_retry(number)
+        sleep(pause)
+    raise AssertionError("the pauses never end")

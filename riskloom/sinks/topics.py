@@ -12,7 +12,8 @@ from riskloom.operators.route import alert_records, dead_letter_records, risk_re
 
 @dataclass(frozen=True)
 class TopicSinks:
-    """Writes ``key, value`` records.  ``format`` other than kafka writes the same records to files, one folder a topic.
+    """Writes ``key, value`` records.  ``format`` other than kafka writes the same records to files, a folder for each topic
+    and batch in it, which a repeated batch replaces.
 
     Spark's Kafka writer is at-least-once.  Results are keyed by customer and alerts carry an id that depends on the
     transaction alone, so consumers drop repeats by ``transactionId`` and ``alertId``.
@@ -22,9 +23,9 @@ class TopicSinks:
     format: str = "kafka"
     folder: str | None = None
 
-    def options(self, topic: str) -> dict[str, str]:
+    def options(self, topic: str, batch_id: int) -> dict[str, str]:
         if self.format != "kafka":
-            return {"path": f"{self.folder}/{topic}"}
+            return {"path": f"{self.folder}/{topic}/batch_id={batch_id}"}
         return {
             "kafka.bootstrap.servers": self.config.bootstrap_servers,
             "topic": topic,
@@ -33,14 +34,15 @@ class TopicSinks:
             "kafka.delivery.timeout.ms": str(self.config.transaction_timeout_ms),
         }
 
-    def _write(self, records: DataFrame, topic: str) -> None:
-        records.write.format(self.format).mode("append").options(**self.options(topic)).save()
+    def _write(self, records: DataFrame, topic: str, batch_id: int) -> None:
+        mode = "append" if self.format == "kafka" else "overwrite"
+        records.write.format(self.format).mode(mode).options(**self.options(topic, batch_id)).save()
 
-    def write_results(self, scored: DataFrame) -> None:
-        self._write(risk_result_records(scored), self.config.risk_topic)
+    def write_results(self, scored: DataFrame, batch_id: int) -> None:
+        self._write(risk_result_records(scored), self.config.risk_topic, batch_id)
 
-    def write_alerts(self, alerts: DataFrame) -> None:
-        self._write(alert_records(alerts), self.config.alerts_topic)
+    def write_alerts(self, alerts: DataFrame, batch_id: int) -> None:
+        self._write(alert_records(alerts), self.config.alerts_topic, batch_id)
 
-    def write_dead_letters(self, letters: DataFrame) -> None:
-        self._write(dead_letter_records(letters), self.config.invalid_topic)
+    def write_dead_letters(self, letters: DataFrame, batch_id: int) -> None:
+        self._write(dead_letter_records(letters), self.config.invalid_topic, batch_id)

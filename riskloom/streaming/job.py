@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from riskloom.config import EngineConfig
 from riskloom.operators.counters import message_metrics, observed, outcome_metrics
-from riskloom.operators.route import persistable
+from riskloom.operators.route import persistable_of
 from riskloom.operators.score import high_risk_alerts
 from riskloom.operators.validate import dead_letters, valid_transactions
 from riskloom.plans.assemble import Streams, assemble, checked_messages, evaluated, split_outcomes
@@ -34,16 +34,25 @@ def run_batch(
     ledger: FileLedger,
     topics: TopicSinks,
     *,
-    batch_id: int = 0,
+    batch_id: int | None = None,
     validation: Sequence | None = None,
     risk: Sequence | None = None,
 ) -> Streams:
-    """All outputs of bounded input.  Running it again with the same ``batch_id`` stores nothing twice."""
+    """All outputs of bounded input, as a new batch.
+
+    Only the last batch can be repeated, by its ``batch_id``: that replaces its rows and, in file form, its records.
+    Earlier ones cannot, as later batches have been compared with them.
+    """
+    last = ledger.last_batch()
+    if batch_id is None:
+        batch_id = 0 if last is None else last + 1
+    elif last is not None and batch_id < last:
+        raise ValueError(f"batch {batch_id} is older than the last one stored, {last}")
     streams = assemble(messages, config, validation=validation, risk=risk)
     _stored(lambda: ledger.write(streams.persistable, batch_id), config, ledger)
-    topics.write_results(streams.outcomes)
-    topics.write_alerts(streams.alerts)
-    topics.write_dead_letters(streams.invalid)
+    topics.write_results(streams.outcomes, batch_id)
+    topics.write_alerts(streams.alerts, batch_id)
+    topics.write_dead_letters(streams.invalid, batch_id)
     return streams
 
 
@@ -123,13 +132,13 @@ def start_stream(
         path = f"{ledger.root}/outcomes/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(path)
         written = spark.read.schema(batch.schema).parquet(path)
-        scored, late = split_outcomes(written)
-        _stored(lambda: ledger.write(persistable(scored, late), batch_id), config, ledger)
-        topics.write_results(scored)
-        topics.write_alerts(high_risk_alerts(scored))
+        scored, _ = split_outcomes(written)
+        _stored(lambda: ledger.write(persistable_of(written), batch_id), config, ledger)
+        topics.write_results(scored, batch_id)
+        topics.write_alerts(high_risk_alerts(scored), batch_id)
 
     def route_letters(batch: DataFrame, batch_id: int) -> None:
-        topics.write_dead_letters(batch)
+        topics.write_dead_letters(batch, batch_id)
 
     risk_query = (
         tagged.writeStream.queryName("risk")

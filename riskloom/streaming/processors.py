@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort_right
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import types as T
@@ -33,13 +35,13 @@ CARRIED_SCHEMA = T.StructType(
         T.StructField("offset", T.LongType()),
     ]
 )
-# Time as text: waiting rows are stored as they came, microseconds included.
-_WAITING_ROW = T.StructType(
+# Time as microseconds since 1970, for any year.
+CARRIED_ROW = T.StructType(
     [T.StructField(f.name, T.LongType() if f.name == "timestamp" else f.dataType) for f in CARRIED_SCHEMA]
 )
-WAITING_SCHEMA = T.StructType([T.StructField("rows", T.ArrayType(_WAITING_ROW))])
+WAITING_SCHEMA = T.StructType([T.StructField("rows", T.ArrayType(CARRIED_ROW))])
 EVALUATED_SCHEMA = T.StructType(
-    [*_WAITING_ROW.fields, *m.CONTEXT_FIELDS, T.StructField("lateness", T.StringType())]
+    [*CARRIED_ROW.fields, *m.CONTEXT_FIELDS, T.StructField("lateness", T.StringType())]
 )
 
 
@@ -57,12 +59,13 @@ class FirstOccurrence(StatefulProcessor):
         self._seen = handle.getValueState("seen", seen, ttlDurationMs=self._retention_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self._seen.exists()
-        for frame in rows:
-            if not known and len(frame):
-                known = True
-                self._seen.update((True,))
-                yield frame.sort_values(list(m.COORDINATES), kind="stable").head(1)
+        if self._seen.exists():
+            return
+        # the first row of every frame, then the first of those
+        firsts = [f.sort_values(list(m.COORDINATES), kind="stable").head(1) for f in rows if len(f)]
+        if firsts:
+            self._seen.update((True,))
+            yield pd.concat(firsts).sort_values(list(m.COORDINATES), kind="stable").head(1)
 
     def close(self) -> None:
         pass
@@ -157,13 +160,11 @@ class InEventOrder(StatefulProcessor):
     def _appended(self, history: list[tuple], row: tuple) -> list[tuple]:
         """Inserts after entries of the same instant; keeps the newest entries within the retention of the newest."""
         entry = (row[_TS], _ZERO if row[_AMOUNT] is None else row[_AMOUNT], row[_COUNTRY], row[_STATUS] == m.DECLINED)
-        at = len(history)
-        while at and history[at - 1][0] > entry[0]:
-            at -= 1
-        entries = [*history[:at], entry, *history[at:]]
+        entries = list(history)
+        insort_right(entries, entry, key=_instant)
         # One more millisecond than the retention: the first row of a later instant may still see it.
-        oldest = entries[-1][0] - self._retention_ms - 1
-        return [e for e in entries[-self._max_entries :] if e[0] >= oldest]
+        expired = bisect_left(entries, _instant(entries[-1]) - self._retention_ms - 1, key=_instant)
+        return entries[max(expired, len(entries) - self._max_entries) :]
 
     def _wake(self, watermark: int, waiting_ts: int | None, history: list[tuple] | None) -> None:
         """One timer per customer: at the first waiting instant, else when the newest entry expires."""
@@ -184,6 +185,7 @@ _AMOUNT = CARRIED.index("amount")
 _COUNTRY = CARRIED.index("country")
 _STATUS = CARRIED.index("payment_status")
 _TS = CARRIED.index("ts_ms")
+_instant = itemgetter(0)
 _NO_CONTEXT = (None,) * len(m.CONTEXT_COLUMNS)
 
 

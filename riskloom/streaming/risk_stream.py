@@ -6,23 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.config import EngineConfig
-from riskloom.streaming.processors import CARRIED, CARRIED_SCHEMA, EVALUATED_SCHEMA, FirstOccurrence, InEventOrder
+from riskloom.streaming.processors import CARRIED, CARRIED_ROW, EVALUATED_SCHEMA, FirstOccurrence, InEventOrder
 
 _NEVER_LATE = "2262-04-01 00:00:00"  # near the end of what pandas timestamps hold
 
 
 def unique_stream(transactions: DataFrame, retention_ms: int) -> DataFrame:
     """First occurrence per id within the retention, in processing time."""
-    return (
-        transactions.select(*CARRIED)
+    # Times go as microseconds: the nanoseconds of pandas end in the year 2262.
+    rows = (
+        transactions.withColumn("timestamp", F.unix_micros("timestamp"))
+        .select(*CARRIED)
         .groupBy("transaction_id")
         .transformWithStateInPandas(
             statefulProcessor=FirstOccurrence(retention_ms),
-            outputStructType=CARRIED_SCHEMA,
+            outputStructType=CARRIED_ROW,
             outputMode="Append",
             timeMode="ProcessingTime",
         )
     )
+    return rows.withColumn("timestamp", F.timestamp_micros("timestamp"))
 
 
 def _never_late() -> Column:

@@ -1,9 +1,9 @@
-"""Builds JSON payloads for tests; times are seconds after 2026-10-06T13:00:00Z."""
+"""Builds JSON payloads for tests; times are seconds after 2027-03-02T08:00:00Z."""
 
 import datetime as dt
 import json
 
-T0 = dt.datetime(2026, 10, 6, 13, 0, tzinfo=dt.timezone.utc)
+T0 = dt.datetime(2027, 3, 2, 8, 0, tzinfo=dt.timezone.utc)
 
 
 def at(seconds):

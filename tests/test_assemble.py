@@ -114,5 +114,37 @@ def test_late_arrivals(spark, stage):
 
 def test_hot_customer_gives_the_same_results(spark):
     given = [payload(f"h{i:03d}", "hot", seconds=i, amount=1 + i) for i in range(260)] + burst("b", 1000)
-    limits = SkewLimits(rows_per_slice=110, max_hot=20_000)
+    limits = SkewLimits(rows_per_slice=110)
     assert run(spark, given, limits=limits) == run(spark, given)
+
+
+def test_rows_without_a_batch_are_on_time(spark):
+    from pyspark.sql import functions as F
+
+    given = [payload("a", seconds=0), payload("b", seconds=100), payload("old", seconds=1)]
+    raw = from_payloads(spark, given).withColumn("arrived", F.when(F.col("offset") < 2, F.col("offset") + 1))
+    streams = assemble(raw, arrival_batch="arrived")
+    assert sorted(r["transaction_id"] for r in streams.outcomes.collect()) == ["a", "b", "old"]
+
+
+def test_the_first_arrival_wins(spark):
+    from pyspark.sql import functions as F
+
+    given = [payload("x", seconds=5, amount=7), payload("x", seconds=0, amount=3), payload("y", seconds=400)]
+    raw = from_payloads(spark, given).withColumn("arrived", F.element_at(F.array(*map(F.lit, (3, 1, 2))), (F.col("offset") + 1).cast("int")))
+    rows = {r["transaction_id"]: r for r in assemble(raw, arrival_batch="arrived").persistable.collect()}
+    assert (rows["x"]["status"], int(rows["x"]["amount"])) == ("PROCESSED", 3)
+
+
+def test_running_maximum_over_groups_of_batches(spark):
+    import random
+
+    from riskloom.operators.lateness import batch_watermarks
+
+    rng = random.Random(4)
+    numbers = [rng.choice([rng.randrange(9), rng.randrange(-(2**40), 2**40), 2**62 + rng.randrange(5)]) for _ in range(60)]
+    newest = {b: rng.randrange(1000) for b in numbers}
+    df = spark.createDataFrame([(b, v) for b, v in newest.items()], "batch long, ts_ms long")
+    found = {r["batch"]: r["watermark_ms"] for r in batch_watermarks(df, "batch", 10).collect()}
+    order = sorted(newest)
+    assert found == {b: (max(newest[x] for x in order[:k]) - 10 if k else None) for k, b in enumerate(order)}

@@ -9,7 +9,7 @@ from riskloom.operators.history import with_history
 from riskloom.operators.slices import SkewLimits, hot_customers, with_history_at_scale
 
 SCHEMA = "transaction_id string, customer_id string, amount decimal(28,8), country string, payment_status string, ts_ms bigint"
-T0 = 1_791_291_600_000
+T0 = 1_803_974_400_000
 
 
 def frame(spark, rows):
@@ -99,7 +99,7 @@ def test_hot_customer_is_sliced_without_changing_results(spark, span):
         row |= {"id": f"h{i:04d}", "customer": "hot"}
     rows += hot
     df = frame(spark, rows)
-    limits = SkewLimits(rows_per_slice=130, max_hot=20_000)
+    limits = SkewLimits(rows_per_slice=130)
     assert [r["customer_id"] for r in hot_customers(df, limits).collect()] == ["hot"]
     result = with_history_at_scale(df, limits=limits)
     assert result.count() == len(rows)
@@ -107,10 +107,13 @@ def test_hot_customer_is_sliced_without_changing_results(spark, span):
     assert collected(result) == contexts(rows)
 
 
-def test_hot_list_is_bounded(spark):
-    df = frame(spark, random_rows(8, 1000, 5, 3_600_000))
-    assert hot_customers(df, SkewLimits(rows_per_slice=1, max_hot=4)) is None  # none above a quarter of all rows
+def test_every_customer_above_the_limit_is_sliced(spark):
+    rows = random_rows(8, 1000, 5, 3_600_000)
+    df = frame(spark, rows)
     assert hot_customers(df) is None
+    limits = SkewLimits(rows_per_slice=110)
+    assert hot_customers(df, limits).count() == 5
+    assert collected(with_history_at_scale(df, limits=limits)) == contexts(rows)
 
 
 def test_plan_has_one_shuffle(spark):

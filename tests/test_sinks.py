@@ -1,5 +1,6 @@
 import json
 from decimal import Decimal
+from itertools import islice
 
 import pytest
 from payloads import T0, payload
@@ -133,54 +134,59 @@ def retried(write, policy, clock, **kwargs):
     return with_retries(write, policy, sleep=clock.sleep, clock=lambda: clock.now, **kwargs)
 
 
-def test_backoff():
-    policy = RetryPolicy()
-    assert [round(policy.backoff(n), 3) for n in (1, 2, 3, 6, 50)] == [0.2, 0.4, 0.8, 5.0, 5.0]
+def test_pauses_grow_and_then_stay():
+    policy = RetryPolicy(initial_s=0.5, max_s=3, multiplier=3)
+    assert list(islice(policy.pauses(), 5)) == [0.5, 1.5, 3, 3, 3]
+    assert next(RetryPolicy().pauses()) == 0.2 and list(islice(RetryPolicy().pauses(), 40))[-1] == 5.0
 
 
-def test_retry_until_success():
-    clock, left, seen = Clock(), [3], []
+@pytest.mark.parametrize("failures", [0, 1, 5])
+def test_a_write_that_recovers(failures):
+    clock, outcomes, seen = Clock(), ["down"] * failures + ["up"], []
 
     def write():
-        left[0] -= 1
-        if left[0] >= 0:
-            raise ConnectionError("refused")
-        return "stored"
+        if (state := outcomes.pop(0)) == "down":
+            raise OSError(state)
+        return state
 
-    assert retried(write, RetryPolicy(10, 1, 4), clock, on_retry=seen.append) == "stored"
-    assert clock.sleeps == [1, 2, 4] and seen == [1, 2, 3]
+    assert retried(write, RetryPolicy(max_elapsed_s=90, initial_s=2, max_s=7), clock, on_retry=seen.append) == "up"
+    assert len(seen) == len(clock.sleeps) == failures and not outcomes
+    assert clock.sleeps == sorted(clock.sleeps) and all(2 <= s <= 7 for s in clock.sleeps)
 
 
-def test_giving_up_after_the_budget():
-    clock = Clock()
+def test_a_write_that_never_recovers():
+    clock, tries = Clock(), []
 
     def write():
-        raise ConnectionError("down")
+        tries.append(clock.now)
+        raise OSError("unreachable")
 
-    with pytest.raises(GivingUp, match="giving up"):
-        retried(write, RetryPolicy(10, 1, 4), clock)
-    assert sum(clock.sleeps) >= 10
-    with pytest.raises(ConnectionError):
-        retried(write, RetryPolicy(10, 1, 4), clock, retryable=lambda e: False)
+    with pytest.raises(GivingUp, match="unreachable"):
+        retried(write, RetryPolicy(max_elapsed_s=20, initial_s=3, max_s=6), clock)
+    assert tries[-2] < 20 <= tries[-1] and len(tries) == len(clock.sleeps) + 1
+    tries.clear()
+    with pytest.raises(OSError):
+        retried(write, RetryPolicy(), clock, retryable=lambda e: not isinstance(e, OSError))
+    assert len(tries) == 1
 
 
 def test_json_shapes(spark):
-    scored = events(spark, event("tx-123", 85, customer_id="customer-42"))
+    scored = events(spark, event("p9", 91, customer_id="kiosk"))
     row = risk_result_records(scored).first()
-    assert bytes(row["key"]) == b"customer-42"
+    assert bytes(row["key"]) == b"kiosk"
     assert json.loads(bytes(row["value"])) == {
-        "transactionId": "tx-123",
-        "customerId": "customer-42",
-        "riskScore": 85,
+        "transactionId": "p9",
+        "customerId": "kiosk",
+        "riskScore": 91,
         "riskLevel": "HIGH",
         "reasons": ["A", "B"],
-        "timestamp": "2026-10-06T13:00:00Z",
+        "timestamp": "2027-03-02T08:00:00Z",
     }
     from riskloom.operators.score import high_risk_alerts
 
     row = alert_records(high_risk_alerts(scored)).first()
-    assert json.loads(bytes(row["value"]))["alertId"] == "high-risk-v1-tx-123"
-    assert json.loads(bytes(row["value"]))["transactionTimestamp"] == "2026-10-06T13:00:00Z"
+    assert json.loads(bytes(row["value"]))["alertId"] == "high-risk-v1-p9"
+    assert json.loads(bytes(row["value"]))["transactionTimestamp"] == "2027-03-02T08:00:00Z"
     letter = spark.createDataFrame(
         [("DESERIALIZATION", "MALFORMED_PAYLOAD", "bad", None, 'gar"bage', "t", 1, 7, NAIVE_T0)],
         "source string, code string, detail string, transaction_id string, payload string, topic string, "
@@ -195,22 +201,23 @@ def test_json_shapes(spark):
 
 
 @pytest.mark.parametrize(
-    "micros,text", [(0, "13:00:00Z"), (250_000, "13:00:00.250Z"), (250_001, "13:00:00.250001Z")]
+    "micros,text", [(0, "08:00:00Z"), (250_000, "08:00:00.250Z"), (250_001, "08:00:00.250001Z")]
 )
 def test_instants_are_printed_as_needed(spark, micros, text):
     from riskloom.functions.instants import format_instant
 
-    when = F.timestamp_micros(F.lit(1_791_291_600_000_000 + micros))
-    assert spark.range(1).select(format_instant(when)).first()[0] == f"2026-10-06T{text}"
+    when = F.timestamp_micros(F.lit(1_803_974_400_000_000 + micros))
+    assert spark.range(1).select(format_instant(when)).first()[0] == f"2027-03-02T{text}"
     assert spark.range(1).select(format_instant(F.timestamp_micros(F.lit(-1)))).first()[0] == "1969-12-31T23:59:59.999999Z"
 
 
 def test_topic_options():
-    config = EngineConfig(bootstrap_servers="b:1")
+    config = EngineConfig(bootstrap_servers="broker:7000")
     source = topic_source_options(config, max_offsets_per_trigger=10)
     assert source["subscribe"] == "transaction.events" and source["startingOffsets"] == "earliest"
-    assert source["kafka.bootstrap.servers"] == "b:1" and source["maxOffsetsPerTrigger"] == "10"
-    assert TopicSinks(config).options("x")["topic"] == "x"
+    assert source["kafka.bootstrap.servers"] == "broker:7000" and source["maxOffsetsPerTrigger"] == "10"
+    assert TopicSinks(config).options("letters", 3)["topic"] == "letters"
+    assert TopicSinks(config, "json", "/out").options("letters", 3) == {"path": "/out/letters/batch_id=3"}
 
 
 def test_database_statements_and_staging(spark, tmp_path):
@@ -254,9 +261,20 @@ def test_batch_job_end_to_end(spark, ledger, tmp_path):
     from_payloads(spark, given).write.parquet(raw_path)
     topics = TopicSinks(format="parquet", folder=str(tmp_path / "topics"))
     for _ in range(2):  # the second run repeats the first
-        run_batch(read_raw_table(spark, raw_path), EngineConfig(), ledger, topics)
+        run_batch(read_raw_table(spark, raw_path), EngineConfig(), ledger, topics, batch_id=0)
     assert counts(ledger) == [6, 6, 1]
-    alerts = spark.read.parquet(f"{topics.folder}/fraud.high-risk.alerts").select("value").distinct().collect()
-    assert len(alerts) == 1  # written twice, but identical: consumers drop the repeat
-    letters = spark.read.parquet(f"{topics.folder}/transaction.invalid.events")
-    assert letters.count() == 2
+    assert spark.read.parquet(f"{topics.folder}/fraud.high-risk.alerts").count() == 1
+    assert spark.read.parquet(f"{topics.folder}/{topics.config.risk_topic}").count() == 6
+    assert spark.read.parquet(f"{topics.folder}/transaction.invalid.events").count() == 1
+
+
+def test_a_second_load_keeps_the_first(spark, ledger, tmp_path):
+    topics = TopicSinks(format="parquet", folder=str(tmp_path / "topics"))
+    for number, ids in enumerate((["k1", "k2"], ["k2", "k3"])):
+        path = str(tmp_path / f"raw{number}")
+        from_payloads(spark, [payload(i, customer=i) for i in ids]).write.parquet(path)
+        run_batch(read_raw_table(spark, path), EngineConfig(), ledger, topics)
+    assert {r["transaction_id"] for r in ledger.read("transactions").collect()} == {"k1", "k2", "k3"}
+    assert ledger.last_batch() == 1
+    with pytest.raises(ValueError, match="older"):
+        run_batch(read_raw_table(spark, path), EngineConfig(), ledger, topics, batch_id=0)

@@ -85,11 +85,23 @@ def test_a_failing_python_rule_rejects_only_its_row(spark):
     assert messages(spark, given, rules)[1][0].startswith("AaRule failed: RuntimeError")
 
 
+def test_python_rules_see_times_of_any_year(spark):
+    def check(row):
+        year = None if row["timestamp"] is None else row["timestamp"].year
+        return [] if year == 2027 else [(f"YEAR_{year}", "unusual")]
+
+    given = [payload("a"), payload("b", timestamp="9999-12-31T00:00:00Z"), payload("c", timestamp="0002-06-01T00:00:00Z")]
+    given.append(payload("d", timestamp="@drop"))
+    found = codes(spark, given, [PandasValidationRule("Years", check)])
+    assert [c for c in found if c] and found[:3] == [[], ["YEAR_9999"], ["YEAR_2"]]
+    assert found[3][-1] == "YEAR_None"
+
+
 def test_dead_letters(spark):
     bad = payload("bad", amount="-5", currency="JPY")
     given = ["poison", bad, payload("ok")]
     checked = checked_messages(from_payloads(spark, given))
-    rows = dead_letters(checked, F.lit("2026-10-06T13:10:01Z").cast("timestamp")).orderBy("offset").collect()
+    rows = dead_letters(checked, F.lit("2027-03-02T08:20:07Z").cast("timestamp")).orderBy("offset").collect()
     assert [(r["source"], r["code"], r["transaction_id"], r["payload"], r["offset"]) for r in rows] == [
         ("DESERIALIZATION", "MALFORMED_PAYLOAD", None, "poison", 0),
         ("VALIDATION", "AMOUNT_NOT_POSITIVE,CURRENCY_NOT_SUPPORTED", "bad", bad, 1),
