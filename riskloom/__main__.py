@@ -1,4 +1,8 @@
-"""``python -m riskloom --key value ...``: the continuous job against a log and a folder of tables."""
+"""``python -m riskloom --storage.folder /shared/risk --key value ...``: the continuous job against a log and tables.
+
+The folder (or STORAGE_FOLDER) holds tables and stream checkpoints. It has no default: a job that starts again must find
+the same one.
+"""
 
 from __future__ import annotations
 
@@ -8,26 +12,34 @@ import sys
 from pyspark.sql import SparkSession
 
 from riskloom.config import load_config, parse_args
-from riskloom.session import shared_folder
 from riskloom.sinks.ledger import FileLedger
 from riskloom.sinks.topics import TopicSinks
 from riskloom.sources.log import read_topic
-from riskloom.streaming.job import start_stream
+from riskloom.streaming.job import MetricTotals, start_stream
 
 
 def main(args: list[str]) -> None:
-    config = load_config(parse_args(args), os.environ)
+    given = parse_args(args)
+    folder = given.pop("storage.folder", None) or os.environ.get("STORAGE_FOLDER")
+    if not folder:
+        raise SystemExit("name the folder for tables and checkpoints: --storage.folder or STORAGE_FOLDER")
+    config = load_config(given, os.environ)
     spark = SparkSession.builder.appName("transaction-risk").getOrCreate()
-    folder = shared_folder(spark)
+    metrics = MetricTotals()
+    spark.streams.addListener(metrics)
+    ledger = FileLedger(spark, f"{folder}/tables")
     job = start_stream(
         read_topic(spark, config),
         config,
-        FileLedger(spark, f"{folder}/tables"),
+        ledger,
         TopicSinks(config),
         f"{folder}/offsets",
     )
-    spark.streams.awaitAnyTermination()
-    job.stop()
+    try:
+        spark.streams.awaitAnyTermination()
+    finally:
+        job.stop()
+        print("counters:", metrics.totals, ledger.counters, file=sys.stderr)
 
 
 if __name__ == "__main__":

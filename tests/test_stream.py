@@ -19,6 +19,7 @@ from riskloom.streaming.processors import CARRIED_SCHEMA
 from riskloom.streaming.risk_stream import evaluated_stream, unique_stream
 
 T0_MS = int(T0.timestamp() * 1000)
+FAR = (dt.datetime(9000, 5, 4, tzinfo=dt.timezone.utc) - T0).total_seconds()  # far behind what pandas times can hold
 
 
 def tx(id, seconds, customer="c1", amount="5", country="PT", status=None, offset=0):
@@ -183,17 +184,18 @@ def wait_for(condition, seconds=90):
 def test_duplicates_within_the_retention(spark, tmp_path):
     h = Harness(spark, tmp_path, dedup_ms=20_000).start()
     try:
-        feed = spark.createDataFrame([tx("a", 0, offset=1), tx("a", 0, amount="9", offset=0), tx("b", 1)], CARRIED_SCHEMA)
+        feed = spark.createDataFrame([tx("a", 0, offset=1), tx("a", 0, amount="9", offset=0), tx("b", 1), tx("z", FAR)], CARRIED_SCHEMA)
         feed.coalesce(1).write.mode("append").parquet(h.source)
-        assert wait_for(lambda: len(h.rows) >= 2)
+        assert wait_for(lambda: len(h.rows) >= 3)
         first_seen = time.time()
-        assert sorted((r["transaction_id"], r["amount"]) for r in h.rows) == [("a", Decimal(9)), ("b", Decimal(5))]
+        assert sorted((r["transaction_id"], r["amount"]) for r in h.rows) == [("a", Decimal(9)), ("b", Decimal(5)), ("z", Decimal(5))]
+        assert max(r["timestamp"] for r in h.rows).year == 9000
         spark.createDataFrame([tx("a", 2), tx("c", 3)], CARRIED_SCHEMA).coalesce(1).write.mode("append").parquet(h.source)
-        assert wait_for(lambda: len(h.rows) >= 3)
+        assert wait_for(lambda: len(h.rows) >= 4)
         assert h.rows[-1]["transaction_id"] == "c"
         time.sleep(max(0, first_seen + 22 - time.time()))
         spark.createDataFrame([tx("a", 4)], CARRIED_SCHEMA).coalesce(1).write.mode("append").parquet(h.source)
-        assert wait_for(lambda: len(h.rows) >= 4)  # seen longer ago than the retention: new again
+        assert wait_for(lambda: len(h.rows) >= 5)  # seen longer ago than the retention: new again
         assert h.rows[-1]["transaction_id"] == "a"
     finally:
         h.stop()
