@@ -6,17 +6,18 @@ batch, so a batch is stored completely or not at all, and running it again chang
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.config import DatabaseConfig
 from riskloom.operators.dedup import first_per_transaction
 from riskloom.operators.route import score_rows, transaction_rows
 from riskloom.sinks.constraints import split_rejected
-from riskloom.sinks.retry import RetryPolicy, with_retries
+from riskloom.sinks.counters import SinkCounters
 
 _TRANSACTION_COLUMNS = (
     "transaction_id, customer_id, merchant_id, amount, currency, country, event_time, status, payment_status"
@@ -62,16 +63,49 @@ def jdbc_options(config: DatabaseConfig, table: str) -> dict[str, str]:
     }
 
 
-@dataclass(frozen=True)
+def run_in_one_transaction(spark: SparkSession, config: DatabaseConfig) -> Callable[[Sequence[str]], None]:
+    """An ``execute`` for ``DatabaseSink`` on a connection of the driver; the database's driver must be on its class path."""
+
+    def execute(statements: Sequence[str]) -> None:
+        connection = spark._jvm.java.sql.DriverManager.getConnection(config.url, config.user, config.password)
+        try:
+            connection.setAutoCommit(False)
+            statement = connection.createStatement()
+            for text in statements:
+                statement.execute(text)
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
+
+    return execute
+
+
+@dataclass
 class DatabaseSink:
-    """``execute`` runs a list of statements in one transaction on the caller's own connection."""
+    """Takes the place of the file ledger where a primary key decides about repeats, as in a continuous stream.
+
+    ``execute`` runs a list of statements in one transaction. ``root`` is a shared folder for what does not go to the
+    database: the written outcomes of a batch, and ``rejected``, the records that its tables would refuse.
+    """
 
     config: DatabaseConfig
     execute: Callable[[Sequence[str]], None]
+    root: str
     format: str = "jdbc"
+    counters: SinkCounters = field(default_factory=SinkCounters)
+
+    def batch_number(self, wanted: int | None) -> int:
+        """Repeats are harmless here, but staging tables need a number that no other writer uses."""
+        if wanted is None:
+            raise ValueError("name the number of the batch")
+        return wanted
 
-    def write(self, events: DataFrame, batch_id: int) -> DataFrame:
-        """Stores a batch and returns the records that were set aside."""
+    def write(self, events: DataFrame, batch_id: int) -> None:
+        """Stores a batch, first write wins; ``events`` should come from a written table, as it is read once per table."""
+        started = time.monotonic()
         accepted, rejected = split_rejected(events)
         first = first_per_transaction(accepted)
         now = F.current_timestamp()
@@ -80,14 +114,14 @@ class DatabaseSink:
             "risk_scores": score_rows(first, now).drop("created_at"),
             "alert_requests": first.where("raise_alert").select("transaction_id", "risk_level"),
         }
-        policy = RetryPolicy(max_elapsed_s=self.config.max_retry_seconds)
-
-        def store() -> None:
-            for name, table in staging_tables(batch_id).items():
-                rows = staged[name]
-                options = jdbc_options(self.config, table)
-                rows.write.format(self.format).mode("overwrite").options(**options).save()
-            self.execute(merge_statements(batch_id))
-
-        with_retries(store, policy)
-        return rejected
+        aside = f"{self.root}/rejected/batch_id={batch_id}"
+        rejected.write.mode("overwrite").parquet(aside)
+        for name, table in staging_tables(batch_id).items():
+            options = jdbc_options(self.config, table)
+            staged[name].write.format(self.format).mode("overwrite").options(**options).save()
+        self.execute(merge_statements(batch_id))
+        counted = events.sparkSession.read.schema(rejected.schema).parquet(aside)
+        self.counters.records_skipped += counted.count()
+        self.counters.rows_written += first.count()
+        self.counters.batches_written += 1
+        self.counters.last_batch_latency_ms = int((time.monotonic() - started) * 1000)

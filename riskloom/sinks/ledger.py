@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from riskloom import model as m
 from riskloom.sinks.constraints import split_rejected
+from riskloom.sinks.counters import SinkCounters
 from riskloom.sinks.first_write import new_alerts, new_rows
 
 _BATCH = T.StructField("batch_id", T.LongType())
@@ -30,15 +31,6 @@ TABLES = {
 _COMMIT = T.StructType([T.StructField("written_rows", T.LongType()), T.StructField("skipped_rows", T.LongType())])
 
 
-@dataclass
-class SinkCounters:
-    rows_written: int = 0
-    batches_written: int = 0
-    retries: int = 0
-    records_skipped: int = 0
-    last_batch_latency_ms: int = 0
-
-
 @dataclass
 class FileLedger:
     spark: SparkSession
@@ -61,6 +53,15 @@ class FileLedger:
     def _stored(self, table: str, before: int) -> DataFrame:
         return self._all(table, TABLES[table]).where(F.col("batch_id") < before).drop("batch_id")
 
+    def batch_number(self, wanted: int | None) -> int:
+        """The next number if none is wanted. A number before the last one stored is refused."""
+        last = self.last_batch()
+        if wanted is None:
+            return 0 if last is None else last + 1
+        if last is not None and wanted < last:
+            raise ValueError(f"batch {wanted} is older than the last one stored, {last}")
+        return wanted
+
     def last_batch(self) -> int | None:
         return self._all("commits", _COMMIT).agg(F.max("batch_id")).first()[0]
 

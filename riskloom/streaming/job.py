@@ -15,6 +15,7 @@ from riskloom.operators.score import high_risk_alerts
 from riskloom.operators.validate import dead_letters, valid_transactions
 from riskloom.plans.assemble import Streams, assemble, checked_messages, evaluated, split_outcomes
 from riskloom.rules.registry import risk_rules
+from riskloom.sinks.database import DatabaseSink
 from riskloom.sinks.ledger import FileLedger
 from riskloom.sinks.retry import RetryPolicy, with_retries
 from riskloom.sinks.topics import TopicSinks
@@ -31,7 +32,7 @@ def configure_for_streaming(spark: SparkSession) -> None:
 def run_batch(
     messages: DataFrame,
     config: EngineConfig,
-    ledger: FileLedger,
+    ledger: FileLedger | DatabaseSink,
     topics: TopicSinks,
     *,
     batch_id: int | None = None,
@@ -43,11 +44,7 @@ def run_batch(
     Only the last batch can be repeated, by its ``batch_id``: that replaces its rows and, in file form, its records.
     Earlier ones cannot, as later batches have been compared with them.
     """
-    last = ledger.last_batch()
-    if batch_id is None:
-        batch_id = 0 if last is None else last + 1
-    elif last is not None and batch_id < last:
-        raise ValueError(f"batch {batch_id} is older than the last one stored, {last}")
+    batch_id = ledger.batch_number(batch_id)
     streams = assemble(messages, config, validation=validation, risk=risk)
     _stored(lambda: ledger.write(streams.persistable, batch_id), config, ledger)
     topics.write_results(streams.outcomes, batch_id)
@@ -56,7 +53,7 @@ def run_batch(
     return streams
 
 
-def _stored(write: Callable[[], None], config: EngineConfig, ledger: FileLedger) -> None:
+def _stored(write: Callable[[], None], config: EngineConfig, ledger: FileLedger | DatabaseSink) -> None:
     def count_retry(attempt: int) -> None:
         ledger.counters.retries += 1
 
@@ -108,7 +105,7 @@ class RunningJob:
 def start_stream(
     messages: DataFrame,
     config: EngineConfig,
-    ledger: FileLedger,
+    ledger: FileLedger | DatabaseSink,
     topics: TopicSinks,
     checkpoint: str,
     *,

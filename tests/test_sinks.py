@@ -220,13 +220,21 @@ def test_topic_options():
     assert TopicSinks(config, "json", "/out").options("letters", 3) == {"path": "/out/letters/batch_id=3"}
 
 
-def test_database_statements_and_staging(spark, tmp_path):
+def test_database_statements():
     statements = merge_statements(7)
     assert len(statements) == 6
     assert all("ON CONFLICT (transaction_id) DO NOTHING" in s for s in statements[:3])
     assert "JOIN staging_alert_requests_7 a" in statements[2] and "s.risk_level" in statements[2]
     options = jdbc_options(DatabaseConfig(), "t")
     assert (options["batchsize"], options["numPartitions"]) == ("500", "4")
+
+
+def test_batch_job_into_a_database(spark, tmp_path, monkeypatch):
+    """The statements go to a stub; staging tables are folders."""
+    import riskloom.sinks.database as database
+
+    staged = tmp_path / "staged"
+    monkeypatch.setattr(database, "jdbc_options", lambda config, table: {"path": str(staged / table)})
     executed, failures = [], [1]
 
     def execute(given):
@@ -235,24 +243,20 @@ def test_database_statements_and_staging(spark, tmp_path):
             raise ConnectionError("down")
         executed.append(list(given))
 
-    staged = tmp_path / "staged"
-
-    class Sink(DatabaseSink):
-        pass
-
-    import riskloom.sinks.database as database
-
-    original = database.jdbc_options
-    database.jdbc_options = lambda config, table: {"path": str(staged / table)}
-    try:
-        sink = Sink(DatabaseConfig(), execute, format="parquet")
-        rejected = sink.write(events(spark, event("t1", 90), event("t1", 10, offset=1), event("bad", country="PRT")), 7)
-    finally:
-        database.jdbc_options = original
-    assert executed == [statements]
-    assert [r["transaction_id"] for r in rejected.collect()] == ["bad"]
-    assert spark.read.parquet(str(staged / "staging_risk_scores_7")).count() == 1
-    assert spark.read.parquet(str(staged / "staging_alert_requests_7")).first()["transaction_id"] == "t1"
+    sink = DatabaseSink(DatabaseConfig(), execute, str(tmp_path / "aside"), format="parquet")
+    given = [payload(f"d{i}", seconds=5 * i, amount=1000) for i in range(6)] + [payload("odd", "c2", country="PRT"), payload("d0", amount=5)]
+    path = str(tmp_path / "raw")
+    from_payloads(spark, given).write.parquet(path)
+    topics = TopicSinks(format="parquet", folder=str(tmp_path / "topics"))
+    with pytest.raises(ValueError, match="number"):
+        run_batch(read_raw_table(spark, path), EngineConfig(), sink, topics)
+    run_batch(read_raw_table(spark, path), EngineConfig(), sink, topics, batch_id=7)
+    assert executed == [merge_statements(7)]
+    assert [r["transaction_id"] for r in spark.read.parquet(f"{sink.root}/rejected").collect()] == ["odd"]
+    assert spark.read.parquet(str(staged / "staging_risk_scores_7")).count() == 6
+    assert [r["transaction_id"] for r in spark.read.parquet(str(staged / "staging_alert_requests_7")).collect()] == ["d5"]
+    c = sink.counters
+    assert (c.retries, c.batches_written, c.rows_written, c.records_skipped) == (1, 1, 6, 1)
 
 
 def test_batch_job_end_to_end(spark, ledger, tmp_path):
