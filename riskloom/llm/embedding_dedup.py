@@ -47,18 +47,20 @@ def leaves(vectors: DataFrame, trees: int, max_leaf: int, sample: int, margin: f
         return pd.DataFrame({"node": [node], "tree": [tree.tobytes()]})
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known, tree = None, {}, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             nodes, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for node in np.unique(nodes):
-                mine = np.flatnonzero(nodes == node)
-                part = batch.take(pa.array(mine))
-                tree = np.frombuffer(part.column(3)[0].as_py(), rp.NODE)
-                for place, more, rows in rp.route(int(node), rp.unit(_matrix(part.column(2))), tree, margin):
+            starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
+            for lo, hi in zip(starts, [*starts[1:], len(nodes)], strict=True):
+                node, part, mine = int(nodes[lo]), batch.slice(lo, hi - lo), slice(lo, hi)
+                if node != last:
+                    last, known, tree = node, {}, np.frombuffer(part.column(3)[0].as_py(), rp.NODE)
+                for place, more, rows in rp.route(node, rp.unit(_matrix(part.column(2))), tree, margin, known):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(rows), rp.child(int(node), place))),
+                            pa.array(np.full(len(rows), rp.child(node, place))),
                             pa.array(ids[mine][rows]),
                             part.column(2).take(pa.array(rows)),
                             pa.array(np.full(len(rows), more)),
@@ -87,6 +89,7 @@ def leaves(vectors: DataFrame, trees: int, max_leaf: int, sample: int, margin: f
         met = open_rows.join(stored(models, "splits"), "node", "left")
         finished.append(met.filter("tree is null").select("id", "node"))
         down = met.filter("tree is not null").select("node", "id", "vec", "tree")
+        down = down.sortWithinPartitions("node")  # so that a node's rows come together
         state = stored(down.mapInArrow(routed, "node long, id long, vec array<float>, more boolean"), "tree-rows")
     out = finished[0]
     for part in finished[1:]:

@@ -49,8 +49,11 @@ def fit(node: int, sample: np.ndarray, scale: float, max_leaf: int, margin: floa
     return tree
 
 
-def route(node: int, x: np.ndarray, tree: np.ndarray, margin: float) -> list[tuple[int, bool, np.ndarray]]:
-    """(heap place, whether it can still be split, row numbers) of every leaf that the rows reach."""
+def route(node: int, x: np.ndarray, tree: np.ndarray, margin: float, known: dict) -> list[tuple[int, bool, np.ndarray]]:
+    """(heap place, whether it can still be split, row numbers) of every leaf that the rows reach.
+
+    ``known`` remembers the directions of the node between calls.
+    """
     out, todo = [], [(1, np.arange(len(x)))]
     while todo:
         k, rows = todo.pop()
@@ -60,7 +63,9 @@ def route(node: int, x: np.ndarray, tree: np.ndarray, margin: float) -> list[tup
         if attempt < 0:
             out.append((k, k >= 2**DEPTH, rows))
             continue
-        p = x[rows] @ _direction(node, k, int(attempt), x.shape[1])
+        if k not in known:
+            known[k] = _direction(node, k, int(attempt), x.shape[1])
+        p = x[rows] @ known[k]
         todo += [(2 * k, rows[p < threshold + margin]), (2 * k + 1, rows[p >= threshold - margin])]
     return out
 

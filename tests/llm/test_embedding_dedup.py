@@ -71,7 +71,7 @@ def test_trees_cover_every_vector():
     rng = np.random.default_rng(3)
     x = rp.unit(rng.standard_normal((600, 16)))
     tree = rp.fit(11, x, 1.0, 40, 0.02)
-    parts = rp.route(11, x, tree, 0.02)
+    parts = rp.route(11, x, tree, 0.02, {})
     assert set(np.concatenate([rows for _, _, rows in parts])) == set(range(600)) and len(parts) > 8
     assert len({rp.child(11, place) for place, _, _ in parts}) == len(parts)
 
