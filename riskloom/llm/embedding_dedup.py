@@ -52,21 +52,16 @@ def leaves(vectors: DataFrame, trees: int, max_leaf: int, sample: int, margin: f
             if not batch.num_rows:
                 continue
             nodes, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
+            starts, out = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]]), []
             for lo, hi in zip(starts, [*starts[1:], len(nodes)], strict=True):
-                node, part, mine = int(nodes[lo]), batch.slice(lo, hi - lo), slice(lo, hi)
+                node, part = int(nodes[lo]), batch.slice(lo, hi - lo)
                 if node != last:
                     last, known, tree = node, {}, np.frombuffer(part.column(3)[0].as_py(), rp.NODE)
                 for place, more, rows in rp.route(node, rp.unit(_matrix(part.column(2))), tree, margin, known):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(rows), rp.child(node, place))),
-                            pa.array(ids[mine][rows]),
-                            part.column(2).take(pa.array(rows)),
-                            pa.array(np.full(len(rows), more)),
-                        ],
-                        names=["node", "id", "vec", "more"],
-                    )
+                    out.append((np.full(len(rows), rp.child(node, place)), rows + lo, np.full(len(rows), more)))
+            children, rows, more = (np.concatenate(c) for c in zip(*out, strict=True))
+            columns = [pa.array(children), pa.array(ids[rows]), batch.column(2).take(pa.array(rows)), pa.array(more)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "id", "vec", "more"])
 
     every_tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     state = vectors.select("id", "grp", "vec", every_tree).select(F.xxhash64("tree", "grp").alias("node"), "id", "vec", F.lit(True).alias("more"))
@@ -110,9 +105,11 @@ def _unit_links(units: DataFrame, threshold: float) -> DataFrame:
             if not own[0]:
                 linked &= side[:, None] != side[None, :]
             linked &= ids[:, None] != ids[None, :]
-            if not linked.any():
+            hit = np.flatnonzero(linked.any(axis=1))
+            if not len(hit):
                 continue
-            lists = table.column("leaves").to_pylist()
+            ids, copies, linked = ids[hit], copies[hit], linked[np.ix_(hit, hit)]
+            lists = table.column("leaves").take(pa.array(hit)).to_pylist()
             earlier = sorted({v for own_leaves in lists for v in own_leaves if v < leaf[0]})
             if earlier:  # pairs that share an earlier leaf have been counted there
                 place = {v: k for k, v in enumerate(earlier)}
