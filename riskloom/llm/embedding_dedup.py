@@ -109,13 +109,17 @@ def _unit_links(units: DataFrame, threshold: float) -> DataFrame:
             if not len(hit):
                 continue
             ids, copies, linked = ids[hit], copies[hit], linked[np.ix_(hit, hit)]
-            lists = table.column("leaves").take(pa.array(hit)).to_pylist()
-            earlier = sorted({v for own_leaves in lists for v in own_leaves if v < leaf[0]})
-            if earlier:  # pairs that share an earlier leaf have been counted there
-                place = {v: k for k, v in enumerate(earlier)}
-                shares = np.zeros((len(ids), len(earlier)), dtype=np.float32)
-                for k, own_leaves in enumerate(lists):
-                    shares[k, [place[v] for v in own_leaves if v < leaf[0]]] = 1
+            lists = table.column("leaves").take(pa.array(hit)).combine_chunks()
+            others, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+            rows, others = rows[others < leaf[0]], others[others < leaf[0]]
+            earlier, place, held = np.unique(others, return_inverse=True, return_counts=True)
+            for shared in np.array_split(np.flatnonzero(held > 1), max(1, -(-len(earlier) // 1024))):
+                # pairs that share an earlier leaf have been counted there
+                column = np.full(len(earlier), -1)
+                column[shared] = np.arange(len(shared))
+                mine = column[place] >= 0
+                shares = np.zeros((len(ids), len(shared)), dtype=np.float32)
+                shares[rows[mine], column[place][mine]] = 1
                 linked &= shares @ shares.T == 0
             hit = np.flatnonzero(linked.any(axis=1))
             order = hit[np.argsort(ids[hit])]

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.shared import require, stored
 
 NEAR = 60
+SALTS = 16
 _KEY = r"A-Za-z0-9_+/=-"
 #: Words that speak for and against a secret near a candidate or in its path.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "auth", "bearer", "credential", "private")
@@ -119,7 +120,11 @@ def with_features(found: DataFrame, pieces: DataFrame) -> DataFrame:
     cut = distinct.select("candidate", F.explode_outer(_fours(F.lower("candidate"))).alias("piece"))
     met = cut.join(pieces.select(F.col("piece").alias("known")), cut["piece"] == F.col("known"), "left")
     covered = met.groupBy(F.col("candidate").alias("same")).agg((F.count("known") / F.count("*")).alias("covered"))
-    joined = found.join(covered, found["candidate"] == covered["same"]).drop("same")
+    # a value that very many findings share is dealt out over the salts
+    salted = found.withColumn("f__salt", F.pmod(F.xxhash64("id", "start", "before"), F.lit(SALTS)))
+    covered = covered.withColumn("f__same_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = (salted["candidate"] == covered["same"]) & (salted["f__salt"] == covered["f__same_salt"])
+    joined = salted.join(covered, met)
     return joined.select(*found.columns, *(F.coalesce(f().cast("double"), F.lit(0.0)).alias(f"f_{name}") for name, f in FEATURES.items()))
 
 
