@@ -8,7 +8,7 @@ import types
 
 import numpy as np
 
-MOST_REMEMBERED = 600_000
+MOST_REMEMBERED = 1_200_000  # about 250 MB
 LONGEST_REMEMBERED = 48
 
 
@@ -29,22 +29,51 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
+        loaded = worker_memory("tokenizers")
+        if content not in loaded:
+            tokenizer = Tokenizer.from_str(content)
+            tokenizer.encode_special_tokens = True
+            vocabulary = tokenizer.get_vocab()
+            sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+            for token, number in vocabulary.items():
+                sizes[number] = len(token)  # a character of a byte-level token is a byte
+            loaded[content] = tokenizer, sizes
+        self.tokenizer, self.token_bytes = loaded[content]
         self.known = worker_memory(f"pieces-{hash(content)}")
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _pieces(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word with a space before it.
+
+        Words without white space at their ends are encoded as one text, as the space before each is a sure border; the
+        bytes that each token stands for tell where a word's ids end.
+        """
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        other = list(set(words).difference(plain)) if len(plain) < len(words) else []
+        out = dict(zip(other, self._encoded([" " + w for w in other]), strict=True)) if other else {}
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            [whole] = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(whole.ids, dtype="<u4")
+            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in part])
+            cuts = 4 * (np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(part, cuts.tolist(), strict=True):
+                out[word] = raw[begin:end]
+                begin = end
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MOST_REMEMBERED:
             self.known.clear()
         known = self.known
         split = [None if "  " in t else t.split(" ") for t in texts]
         heads = self._encoded([t if s is None else s[0] for t, s in zip(texts, split, strict=True)])
-        new = list(set().union(*(s[1:] for s in split if s)) - known.keys())
-        fresh = dict(zip(new, self._encoded([" " + w for w in new]), strict=True))
+        new = [w for w in set().union(*(s[1:] for s in split if s)) if w not in known]
+        fresh = self._pieces(new)
         long = {w: fresh.pop(w) for w in new if len(w) > LONGEST_REMEMBERED}
         known.update(fresh)
         get = known.__getitem__ if not long else lambda w: long[w] if w in long else known[w]
