@@ -1,9 +1,9 @@
-"""CGK embedding of word sequences and bit-sampling tables over it; numpy only, no Spark.
+"""CGK embedding of word sequences and hashed tables over it; numpy only, no Spark.
 
 The embedding walks over a sequence: at step j it emits the word under the pointer and then moves on by a random bit that
-depends on j and the word. Two sequences at a small edit distance give outputs at a small Hamming distance, because the
-walks fall into step again after an edit. A repetition has its own bits and three sampled steps, one in each third of the
-walk; two sequences meet in it when the words at those steps agree.
+depends on j and the word. An item that may differ in up to d words is cut into d + 1 pieces: whatever the d edits are,
+scattered or in runs, one piece is left as it was. Each piece is an anchor: it is embedded by a walk of two steps a word
+that does not leave it, so the untouched piece has the same embedding in the item and in the text, and no leak is missed.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from collections import defaultdict
 import numpy as np
 
 WORDS = re.compile(r"[^\W_]+")
-SAMPLES = 3
+#: Pieces are walked up to this word; only small error rates have longer ones.
+MOST_WORDS = 16
 SEED = 77017
 
 
@@ -22,15 +23,6 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def size_class(count: int) -> int:
-    """The largest power of two up to the number of words: the window that the embedding of an item reads."""
-    return 1 << (count.bit_length() - 1)
-
-
-def steps_of(size: int) -> int:
-    return size + size // 2
-
-
 def edited(sequence: np.ndarray, edits: int, vocabulary: int, rng: np.random.Generator) -> np.ndarray:
     """The sequence after random replacements, deletions and insertions of single words."""
     out = sequence.tolist()
@@ -46,88 +38,87 @@ def edited(sequence: np.ndarray, edits: int, vocabulary: int, rng: np.random.Gen
     return np.array(out, dtype=np.int32)
 
 
-class Walks:
-    """The random bits and sampled steps of all repetitions for one size class."""
+def pieces(words: int, count: int) -> list[tuple[int, int]]:
+    """The begin and length of ``count`` pieces that make up so many words."""
+    edges = [k * words // count for k in range(count + 1)]
+    return [(lo, min(hi - lo, MOST_WORDS)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+
+
+class Walk:
+    """The random bits for pieces of one length, and the steps after which the embedding so far is looked up."""
 
-    def __init__(self, size: int, vocabulary: int, repetitions: int) -> None:
-        self.size, self.steps, self.repetitions = size, steps_of(size), repetitions
-        rng = np.random.default_rng((SEED, size))
-        self.bits = rng.integers(0, 2, (repetitions, self.steps, vocabulary), dtype=np.uint8)
-        edges = np.linspace(0, self.steps, SAMPLES + 1).astype(int)
-        self.samples = np.stack([rng.integers(lo, hi, repetitions) for lo, hi in zip(edges[:-1], edges[1:], strict=True)], axis=1)
+    def __init__(self, size: int, vocabulary: int) -> None:
+        self.size, self.steps = size, 2 * size
+        self.bits = np.random.default_rng((SEED, size)).integers(0, 2, (self.steps, vocabulary), dtype=np.uint8)
+        self.cuts = sorted({1, size, self.steps})
 
-    def walk(self, repetition: int, words: np.ndarray, at: np.ndarray, begin: int, end: int) -> np.ndarray:
-        """Moves pointers from step ``begin`` to step ``end``."""
+    def go(self, words: np.ndarray, starts: np.ndarray, at: np.ndarray, code: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pointers and hashes of the embedding after step ``end``, from those after step ``begin``."""
+        last = starts + (self.size - 1)
         for j in range(begin, end):
-            at = at + self.bits[repetition, j][words[at]]
-        return at
+            word = words[at]
+            code = code * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)
+            at = np.minimum(at + self.bits[j][word], last)
+        return at, code
 
-    def keys(self, words: np.ndarray, starts: np.ndarray, repetition: int) -> np.ndarray:
-        """The sampled words of the embedding from each start, one row for each."""
-        at, begin, out = starts, 0, []
-        for end in self.samples[repetition]:
-            at = self.walk(repetition, words, at, begin, end)
-            out.append(words[at])
-            begin = end
-        return np.stack(out, axis=1)
+
+def known(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The positions of the codes that are among the sorted ones."""
+    place = np.searchsorted(sorted_codes, codes)
+    return np.flatnonzero(sorted_codes[np.minimum(place, len(sorted_codes) - 1)] == codes)
+
+
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges in order, overlapping ones as one, so that no word is verified twice for an item."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 class WindowIndex:
     """Finds the windows of texts that may hold an item, and verifies them by their exact edit distance in words."""
 
     def __init__(self, items: list[tuple[int, str]], max_rate: float, design_rate: float, target: float, min_words: int, most: int) -> None:
+        """Nothing is missed at any setting, so ``design_rate``, ``target`` and ``most`` have no effect; callers pass them still."""
+        if not 0 <= max_rate < 1:
+            raise ValueError("max_rate must be at least 0 and below 1")
         texts = [(item, words_of(text or "")) for item, text in items]
-        texts = [(item, w) for item, w in texts if len(w) >= min_words]
+        texts = [(item, w) for item, w in texts if w]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}  # 0 is any other word
         self.items = [(item, np.array([self.vocabulary[w] for w in ws], dtype=np.int32)) for item, ws in texts]
-        self.limits = [int(max_rate * len(s)) for _, s in self.items]
+        self.limits = [int(max_rate * len(s) + 1e-9) if len(s) >= min_words else 0 for _, s in self.items]
         self.masks = []
         for _, s in self.items:
             mask = defaultdict(int)
             for k, w in enumerate(s.tolist()):
                 mask[w] |= 1 << k
             self.masks.append(dict(mask))
+        anchors = defaultdict(list)
+        for k, (_, s) in enumerate(self.items):
+            for offset, size in pieces(len(s), self.limits[k] + 1):
+                anchors[size].append((k, offset))
         self.classes = []
-        for size in sorted({size_class(len(s)) for _, s in self.items}):
-            mine = [k for k, (_, s) in enumerate(self.items) if size_class(len(s)) == size]
-            walks = Walks(size, len(self.vocabulary) + 1, most)
-            walks.repetitions = self._enough(walks, mine, design_rate, target, most)
-            walks.bits = walks.bits[: walks.repetitions]
-            self.classes.append((walks, self._tables(walks, mine)))
-        self.pad = max((w.steps for w, _ in self.classes), default=0) + 1
-
-    def _padded(self, sequence: np.ndarray, steps: int) -> np.ndarray:
-        return np.concatenate([sequence, np.zeros(steps + 1, dtype=np.int32)])
-
-    def _enough(self, walks: Walks, mine: list[int], rate: float, target: float, most: int) -> int:
-        """The least number of repetitions that finds the target share of edited items, tried on edits drawn at random."""
-        rng = np.random.default_rng((SEED, walks.size, 1))
-        chosen = [mine[k] for k in rng.permutation(len(mine))[:30]]
-        found = np.zeros((0, most), dtype=bool)
-        for k in chosen:
-            sequence = self.items[k][1]
-            whole = self._padded(sequence, walks.steps)
-            for _ in range(5):
-                other = self._padded(edited(sequence, round(rate * len(sequence)), len(self.vocabulary) + 1, rng), walks.steps)
-                zero = np.zeros(1, dtype=np.int64)
-                hits = [np.array_equal(walks.keys(whole, zero, r), walks.keys(other, zero, r)) for r in range(most)]
-                found = np.vstack([found, hits])
-        recall = np.logical_or.accumulate(found, axis=1).mean(axis=0)
-        reached = np.flatnonzero(recall >= target)
-        return int(reached[0]) + 1 if len(reached) else most
-
-    def _tables(self, walks: Walks, mine: list[int]) -> list[tuple]:
-        """For each repetition: words allowed at the first sample, pairs at the first two, and items by all three."""
-        tables, wide = [], len(self.vocabulary) + 1
-        for r in range(walks.repetitions):
-            first, pairs, full = np.zeros(wide, dtype=bool), set(), defaultdict(list)
-            for k in mine:
-                a, b, c = (int(x) for x in walks.keys(self._padded(self.items[k][1], walks.steps), np.zeros(1, dtype=np.int64), r)[0])
-                first[a] = True
-                pairs.add(a * wide + b)
-                full[a, b, c].append(k)
-            tables.append((first, np.array(sorted(pairs), dtype=np.int64), dict(full)))
-        return tables
+        for size, mine in sorted(anchors.items()):
+            walk = Walk(size, len(self.vocabulary) + 1)
+            self.classes.append((walk, *self._tables(walk, mine)))
+        self.pad = max(anchors, default=0) + 1
+
+    def _tables(self, walk: Walk, mine: list[tuple[int, int]]) -> tuple[list[np.ndarray], dict[int, list[tuple[int, int]]]]:
+        """The sorted hashes of the anchors after each cut, and the (item, offset) of the anchors by the last one."""
+        words = np.concatenate([self.items[k][1][offset : offset + walk.size] for k, offset in mine])
+        starts = np.arange(len(mine), dtype=np.int64) * walk.size
+        at, code, begin, codes, full = starts, np.zeros(len(mine), dtype=np.uint64), 0, [], defaultdict(list)
+        for cut in walk.cuts:
+            at, code = walk.go(words, starts, at, code, begin, cut)
+            codes.append(np.unique(code))
+            begin = cut
+        for anchor, key in zip(mine, code.tolist(), strict=True):
+            full[key].append(anchor)
+        return codes, dict(full)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts as one array of word numbers with padding between them, and where each begins."""
@@ -141,27 +132,19 @@ class WindowIndex:
             at += len(found) + self.pad
         return (np.concatenate(parts) if parts else gap), np.array([*starts, at], dtype=np.int64)
 
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) of every window that meets an item in some repetition."""
-        found, wide = set(), len(self.vocabulary) + 1
+    def candidates(self, words: np.ndarray) -> set[tuple[int, int, int]]:
+        """(place, item, offset in the item) of every anchor that is found."""
+        found = set()
         everywhere = np.arange(len(words) - self.pad, dtype=np.int64)
-        for walks, tables in self.classes:
-            for r, (first, pairs, full) in enumerate(tables):
-                s1, s2, s3 = walks.samples[r]
-                at = walks.walk(r, words, everywhere, 0, s1)
-                a = words[at]
-                keep = np.flatnonzero(first[a])
-                a, starts, at = a[keep].astype(np.int64), everywhere[keep], at[keep]
-                at = walks.walk(r, words, at, s1, s2)
-                b = words[at]
-                pair = a * wide + b
-                place = np.searchsorted(pairs, pair)
-                keep = np.flatnonzero(pairs[np.minimum(place, len(pairs) - 1)] == pair)
-                a, b, starts, at = a[keep], b[keep], starts[keep], at[keep]
-                at = walks.walk(r, words, at, s2, s3)
-                for key, start in zip(zip(a.tolist(), b.tolist(), words[at].tolist(), strict=True), starts.tolist(), strict=True):
-                    for k in full.get(key, ()):
-                        found.add((start, k))
+        for walk, codes, full in self.classes:
+            starts, at, code, begin = everywhere, everywhere, np.zeros(len(everywhere), dtype=np.uint64), 0
+            for cut, allowed in zip(walk.cuts, codes, strict=True):
+                at, code = walk.go(words, starts, at, code, begin, cut)
+                keep = known(allowed, code)
+                starts, at, code, begin = starts[keep], at[keep], code[keep], cut
+            for key, start in zip(code.tolist(), starts.tolist(), strict=True):
+                for k, offset in full[key]:
+                    found.add((start, k, offset))
         return found
 
     def best_match(self, words: list[int], k: int) -> tuple[int, int]:
@@ -192,15 +175,20 @@ class WindowIndex:
 
     def matches(self, words: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text number, item number) -> (distance, first word, last word + 1) of the best verified window."""
-        out = {}
-        for start, k in sorted(self.candidates(words)):
-            doc = int(np.searchsorted(begins, start, side="right")) - 1
+        ranges = defaultdict(list)
+        for place, k, offset in self.candidates(words):
+            doc = int(np.searchsorted(begins, place, side="right")) - 1
             size, limit = len(self.items[k][1]), self.limits[k]
-            lo, hi = max(int(begins[doc]), start - limit), min(int(begins[doc + 1]) - self.pad, start + size + limit)
-            if hi <= lo or ((doc, k) in out and out[doc, k][0] == 0):
-                continue
-            distance, end = self.best_match(words[lo:hi].tolist(), k)
-            if distance <= limit and (doc, k) not in out or (doc, k) in out and distance < out[doc, k][0]:
-                first = max(lo, lo + end - size)
-                out[doc, k] = (distance, first - int(begins[doc]), lo + end - int(begins[doc]))
+            lo, hi = max(int(begins[doc]), place - offset - limit), min(int(begins[doc + 1]) - self.pad, place - offset + size + limit)
+            if hi > lo:
+                ranges[doc, k].append((lo, hi))
+        out = {}
+        for (doc, k), mine in sorted(ranges.items()):
+            for lo, hi in joined(mine):
+                distance, end = self.best_match(words[lo:hi].tolist(), k)
+                if distance <= self.limits[k] and ((doc, k) not in out or distance < out[doc, k][0]):
+                    first = max(lo, lo + end - len(self.items[k][1]))
+                    out[doc, k] = (distance, first - int(begins[doc]), lo + end - int(begins[doc]))
+                if (doc, k) in out and out[doc, k][0] == 0:
+                    break
         return out

@@ -1,16 +1,17 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: CGK embedding, hashed tables over item pieces, exact edit verification.
 
 Items and documents are read as sequences of lower-cased words. A document leaks an item when some part of it is within
-``max_rate`` times the item's words in edit distance (replaced, missing or added words). The windows that start at each
-word of each document are embedded by the random walk of ``riskloom.llm.cgk``; windows that meet an item in one of the
-repetitions are verified by their exact edit distance. The number of repetitions is found by trial on the items: enough to
-find the share ``target`` of items edited at ``design_rate``. Unedited items are always found.
+``max_rate`` times the item's words in edit distance (replaced, missing or added words). An item with d edits allowed is
+cut into d + 1 pieces, one of which any leak holds unchanged. The pieces are embedded by the random walk of
+``riskloom.llm.cgk``, and so are the words from each place of each document; where the two meet, the surroundings are
+verified by their exact edit distance. Every leak within the limit is found, wherever its edits are; the parameters
+``design_rate``, ``target`` and ``most_repetitions`` of the former trial are taken and have no effect.
 
 Items go to the tasks in blocks of at most ``items_per_block`` rows, which bounds what is collected and sent; documents are
 read once for each block and nothing of them is shuffled.
 
 Defined results: items and documents that are null or empty have no words and match nothing; items of fewer than
-``min_words`` words are too short to tell a leak from chance and are left out; repeated items are reported each under its
+``min_words`` words must occur exactly, word for word; repeated items are reported each under its
 own id, items without id are left out. Documents are used whole, and long ones need memory in proportion to their text.
 """
 

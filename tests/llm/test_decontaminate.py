@@ -78,3 +78,33 @@ def test_blocks_and_empty_tables(spark):
     assert leaks(df.limit(0), found).count() == 0
     with pytest.raises(ValueError):
         indexes(given.drop("text"))
+
+
+def test_no_leak_within_the_limit_is_missed():
+    """Scattered edits and runs of missing or replaced words at the begin, in the middle and at the end, all at 20 %."""
+    rng = np.random.default_rng(5)
+    items = item_texts(30)
+    index = WindowIndex(items, 0.2, 0.1, 0.95, 8, 32)
+    around = rng.integers(0, 280, 40).astype(np.int32)
+    missed = []
+    for k, (_, sequence) in enumerate(index.items):
+        run = len(sequence) // 5
+        fresh = np.zeros(run, np.int32)
+        for at in (0, len(sequence) // 3, len(sequence) - run):
+            front, back = sequence[:at], sequence[at + run :]
+            for kind, middle in (("missing", fresh[:0]), ("replaced", fresh)):
+                words = np.concatenate([around, front, middle, back, around, np.zeros(index.pad, np.int32)])
+                missed += [(k, at, kind)] if (0, k) not in index.matches(words, np.array([0, len(words)])) else []
+        for _ in range(4):
+            words = np.concatenate([around, edited(sequence, run, 280, rng), around, np.zeros(index.pad, np.int32)])
+            missed += [(k, "scattered")] if (0, k) not in index.matches(words, np.array([0, len(words)])) else []
+    assert not missed
+
+
+def test_short_items_match_exactly():
+    items = [(1, "alpha beta gamma"), (2, "delta"), (3, "one two three four five six seven")]
+    index = WindowIndex(items, 0.2, 0.1, 0.95, 8, 32)
+    texts = ["so Alpha, beta gamma.", "alpha beta", "one two three four five six", "x one two three four five six seven", ""]
+    assert {(d, index.items[k][0]): v[0] for (d, k), v in index.matches(*index.encode(texts)).items()} == {(0, 1): 0, (3, 3): 0}
+    with pytest.raises(ValueError):
+        WindowIndex(items, 1.0, 0.1, 0.95, 8, 32)
