@@ -31,13 +31,21 @@ TITLES = {
 }
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
+_SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_NATIONAL = r"(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!\d)\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
+_DIGIT = r"\d[ .()-]{0,2}"  # written out n times below, as Java bounds no repeated group behind
+#: A phone number ends before a card number and, from seven digits on, before another entity that begins with digits.
+_ENDS = rf"(?!\d{{4}}(?:[ -]\d{{4}}){{3}}(?![ -]?\d))(?!(?<={_DIGIT * 7})(?:{_IP}|{_SSN}|{_NATIONAL}))"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-    r"|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!\d)\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ip": _IP,
+    # ten digits after +1; elsewhere groups, at most 15 digits in all; national forms
+    "phone": r"(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|(?<![\d+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?{_ENDS}\d{{2,4}}){{1,4}}(?!\d)(?<!{_DIGIT * 15}\d)"
+    rf"|{_NATIONAL}",
+    "ssn": _SSN,
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ ]\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])",
 }

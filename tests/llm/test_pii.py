@@ -80,3 +80,22 @@ def test_documents_use_later_attempts(spark, monkeypatch):
 def test_plan_is_native(spark):
     df = pii.pseudonymize(spark.createDataFrame(GIVEN[:2], "doc_id long, text string"), "key")
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phones_end_where_other_entities_begin(spark):
+    texts = {
+        "us": "+1 (826) 555-4081 190.137.223.204", "same": "+1 (826) 555-4081", "long": "+44 20 7946 0958 190.137.223.204",
+        "ssn": "+44 20 7946 0958 123-45-6789", "two": "+44 20 7946 0958 377-555-0271", "card": "+44 20 7946 0958 4111 1111 1111 1111",
+        "year": "+1 (826) 555-4081 2024", "dots": "+49 30 12.34.56.78", "dashes": "+49 30 123-456-7890",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc string, text string")
+    rows = {r["row"]["doc"]: (r["replaced"], r["kinds"]) for r in pii.pseudonymize(df, "key").collect()}
+    kinds = {d: k for d, (_, k) in rows.items()}
+    assert kinds == {
+        "us": ["phone", "ip"], "same": ["phone"], "long": ["phone", "ip"], "ssn": ["phone", "ssn"], "two": ["phone", "phone"],
+        "card": ["phone", "card"], "year": ["phone"], "dots": ["phone"], "dashes": ["phone"],
+    }
+    same = rows["same"][0]
+    assert rows["us"][0].startswith(same + " ") and rows["year"][0] == same + " 2024"
+    assert "190" not in rows["us"][0].removeprefix(same).split(".") and "204" != rows["us"][0].split(".")[-1]
+    assert len({rows[d][0][:16] for d in ("long", "ssn", "two", "card")}) == 1
