@@ -150,7 +150,7 @@ def _checked(digits: Column, like: Column) -> Column:
 def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a canonical form."""
     seed = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, canonical, attempt.cast("string")).cast("binary"), 256)
-    number = lambda k: F.xxhash64(seed, F.lit(k))
+    number = lambda k: F.xxhash64(seed, k if isinstance(k, Column) else F.lit(k))
     local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
     host = F.substring(F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("domain"), domain).cast("binary"), 256), 1, 10)
     octet = lambda k: (F.pmod(number(k), F.lit(254)) + 1).cast("string")
@@ -164,7 +164,8 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
     )
     for script in ("cyrillic", "greek", "latin"):
         syllables = _SYLLABLES[script].split()
-        stem = F.concat(*(_pick(syllables, number(k)) for k in range(3)))
+        # one syllable more with each attempt, so invented names never run out
+        stem = F.array_join(F.transform(F.sequence(F.lit(0), attempt.cast("int") + 2), lambda k: _pick(syllables, number(k))), "")
         for (s, k), ending in _ENDINGS.items():
             if s == script:
                 fits = kind == k if script == "latin" else (kind == k) & canonical.rlike(_SCRIPTS[script])
@@ -202,10 +203,15 @@ def _entities(docs: DataFrame, text: str) -> Column:
 
 
 def later_attempts(entities: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
-    """``kind, canonical, attempt`` of the entities (distinct kind, canonical) that cannot use attempt 0."""
+    """``kind, canonical, attempt`` of the entities (distinct kind, canonical) that cannot use attempt 0.
+
+    Names get longer with each attempt and never run out. Other kinds keep their format, which holds a fixed number of values:
+    an error is raised when the conflicts have not become fewer for ``most_rounds`` rounds.
+    """
     real = entities.select(F.col("kind").alias("rkind"), F.col("canonical").alias("rvalue"))
     state = entities.select("kind", "canonical", F.lit(0).alias("attempt"))
-    for _ in range(most_rounds):
+    least, stuck = None, 0
+    while stuck < most_rounds:
         now = state.withColumn("value", surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key))
         # names are words: another person of that name in the corpus is no conflict, only two that become one are
         taken = now.join(real, (now["kind"] == real["rkind"]) & (now["value"] == real["rvalue"]), "left_semi").filter(
@@ -216,11 +222,13 @@ def later_attempts(entities: DataFrame, key: str, most_rounds: int = 64) -> Data
         beaten = now.join(shared, (now["kind"] == shared["skind"]) & (now["value"] == shared["svalue"])).filter("canonical <> keeps")
         losers = taken.select("kind", "canonical").unionAll(beaten.select("kind", "canonical")).distinct()
         losers = stored(losers.select(F.col("kind").alias("lkind"), F.col("canonical").alias("lcanonical")), "surrogate-conflicts")
-        if losers.isEmpty():
+        left = losers.count()
+        if not left:
             return state.filter("attempt > 0")
+        least, stuck = (left, 0) if least is None or left < least else (least, stuck + 1)
         met = state.join(losers, (state["kind"] == losers["lkind"]) & (state["canonical"] == losers["lcanonical"]), "left")
         state = stored(met.select("kind", "canonical", (F.col("attempt") + F.col("lkind").isNotNull().cast("int")).alias("attempt")), "attempts")
-    raise RuntimeError("the surrogates of some kind are used up")
+    raise RuntimeError("the surrogates that fit the format of some kind are used up")
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -99,3 +99,13 @@ def test_phones_end_where_other_entities_begin(spark):
     assert rows["us"][0].startswith(same + " ") and rows["year"][0] == same + " 2024"
     assert "190" not in rows["us"][0].removeprefix(same).split(".") and "204" != rows["us"][0].split(".")[-1]
     assert len({rows[d][0][:16] for d in ("long", "ssn", "two", "card")}) == 1
+
+
+def test_names_never_run_out(spark, monkeypatch):
+    """With two syllables there are eight names of the first length for 40 entities; three rounds without progress must not come."""
+    monkeypatch.setitem(pii._SYLLABLES, "latin", "ba be")
+    entities = spark.createDataFrame([("family", f"name{i}") for i in range(40)], "kind string, canonical string")
+    later = pii.later_attempts(entities, "k", 3)
+    used = entities.join(later, ["kind", "canonical"], "left")
+    values = [r[0] for r in used.select(pii.surrogate(F.col("kind"), F.col("canonical"), F.coalesce("attempt", F.lit(0)), "k")).collect()]
+    assert len(set(values)) == 40 and max(map(len, values)) > 8
