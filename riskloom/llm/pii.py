@@ -1,6 +1,8 @@
 """Surrogates for personal data; only DataFrame functions.
 
-Patterns find e-mail addresses, account and card numbers, phone numbers, addresses of hosts, and names behind a title. Each
+Patterns find e-mail addresses, account and card numbers, phone numbers, addresses of hosts, and names behind a title (one
+to five parts besides initials; not parts all in capitals or small letters), and in the same document every further
+mention of such a name as a whole word, as written or in capitals, whatever else the word may mean there. Each
 entity gets a surrogate from a keyed hash of its kind and canonical form, so equal entities get equal surrogates in every
 document, in any spelling, without looking at other documents. Surrogates keep type and format: digits for digits with
 their separators, letters of the same script and case, a leading country digit, a valid check digit where there was one,
@@ -37,6 +39,10 @@ _NATIONAL = r"(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!\d)\d{3}[.-]\d{3}[.-]\d{4}
 _DIGIT = r"\d[ .()-]{0,2}"  # written out n times below, as Java bounds no repeated group behind
 #: A phone number ends before a card number and, from seven digits on, before another entity that begins with digits.
 _ENDS = rf"(?!\d{{4}}(?:[ -]\d{{4}}){{3}}(?![ -]?\d))(?!(?<={_DIGIT * 7})(?:{_IP}|{_SSN}|{_NATIONAL}))"
+#: A part of a name (hyphens, apostrophes and inner capitals allowed, not all capitals), initials, and a part after initials.
+_NAME = r"(?=[\p{L}\p{M}'’-]*\p{Ll})\p{Lu}[\p{L}\p{M}]*(?:['’]\p{Lu}[\p{L}\p{M}]+|-\p{L}[\p{L}\p{M}]*)*"
+_INITIAL = r"(?:(?:\p{L}\.)+|\p{L})"
+_FULL = rf"(?:(?=\p{{Lu}}){_INITIAL} )*{_NAME}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -47,7 +53,7 @@ PATTERNS = {
     rf"|{_NATIONAL}",
     "ssn": _SSN,
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ ]\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_FULL}(?: {_FULL}){{0,4}}(?![\p{{L}}\p{{N}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -74,9 +80,9 @@ def kind_of(found: Column) -> Column:
     """The kind of a match, by the first pattern that takes all of it."""
     out = F.when(F.contains(found, F.lit("@")), "email")
     for kind, pattern in PATTERNS.items():
-        if kind != "email":
+        if kind not in ("email", "name"):
             out = out.when(found.rlike(f"^(?:{pattern})$"), kind)
-    return out
+    return out.otherwise("name")  # with or without title
 
 
 def _title_gender(found: Column) -> Column:
@@ -90,7 +96,7 @@ def _name_parts(found: Column) -> Column:
 
 
 def entities_of(found: Column, kind: Column) -> Column:
-    """The entities in a match, as an array of ``kind, canonical``: one, or a given and a family name."""
+    """The entities in a match, as an array of ``kind, canonical``: one, or initials, given names and a family name."""
     digits = F.regexp_replace(found, "[^0-9]", "")
     canonical = (
         F.when(kind == "email", F.lower(found))
@@ -100,8 +106,13 @@ def entities_of(found: Column, kind: Column) -> Column:
     )
     parts = _name_parts(found)
     entity = lambda k, v: F.struct(k.alias("kind"), v.alias("canonical"))
-    family = entity(F.lit("family"), F.lower(F.element_at(parts, -1)))
-    names = F.when(F.size(parts) > 1, F.array(entity(_title_gender(found), F.lower(F.element_at(parts, 1))), family)).otherwise(F.array(family))
+    given = _title_gender(found)
+
+    def named(part: Column, place: Column) -> Column:
+        sort = F.when(part.rlike(f"^{_INITIAL}$"), "initial").when(place == F.size(parts) - 1, "family").otherwise(given)
+        return entity(sort, F.lower(part))
+
+    names = F.transform(parts, named)
     return F.when(kind == "name", names).otherwise(F.array(entity(kind, canonical)))
 
 
@@ -160,7 +171,7 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
         .when(kind == "iban", _mapped(canonical, seed, F.lit(2)))
         .when(kind == "card", _checked(_mapped(canonical, seed, F.lit(1)), canonical))
         .when(kind == "phone", _mapped(canonical, seed, F.lit(1)))
-        .when(kind == "ssn", _mapped(canonical, seed, F.lit(0)))
+        .when(kind.isin("ssn", "initial"), _mapped(canonical, seed, F.lit(0)))
     )
     for script in ("cyrillic", "greek", "latin"):
         syllables = _SYLLABLES[script].split()
@@ -188,18 +199,27 @@ def rendered(found: Column, kind: Column, values: Column) -> Column:
     """The surrogate values of a match in the format of the match."""
     value = F.element_at(values, 1)
     title = F.regexp_extract(found, rf"^((?:{_TITLE})\.? )", 1)
+    cased = lambda v: F.when((found == F.upper(found)) | v.rlike(f"^{_INITIAL}$"), F.upper(v)).otherwise(F.initcap(v))
     return (
         F.when(kind == "email", F.when(found == F.upper(found), F.upper(value)).otherwise(value))
         .when(kind == "ip", value)
         .when(kind == "iban", _poured(found, value, "A-Z0-9"))
-        .when(kind == "name", F.concat(title, F.array_join(F.transform(values, lambda v: F.initcap(v)), " ")))
+        .when(kind == "name", F.concat(title, F.array_join(F.transform(values, cased), " ")))
         .otherwise(_poured(found, value, "0-9"))
     )
 
 
 def _entities(docs: DataFrame, text: str) -> Column:
     found = F.regexp_extract_all(docs[text], F.lit(PATTERN), F.lit(0))
-    return F.flatten(F.transform(found, lambda m: entities_of(m, kind_of(m))))
+    every = F.flatten(F.transform(found, lambda m: entities_of(m, kind_of(m))))
+    return F.filter(every, lambda e: e["kind"] != "initial")
+
+
+def _with_mentions(words: Column) -> Column:
+    """The pattern of a document: all kinds, and the words of the names found in it, as written or in capitals."""
+    written = F.sort_array(F.array_distinct(F.concat(words, F.transform(words, F.upper))), asc=False)  # longer ones before their beginnings
+    mention = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(written, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(F.size(words) > 0, mention).otherwise(PATTERN)
 
 
 def later_attempts(entities: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
@@ -248,17 +268,27 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         attempts = stored(held.groupBy("body").agg(named.alias("attempts")), "attempts-of-texts")
         left = left.withColumn("body", F.xxhash64("text")).join(attempts, "body", "left")
 
+    titled = F.coalesce(F.regexp_extract_all("text", F.lit(PATTERNS["name"]), F.lit(0)), F.array().cast("array<string>"))
+    left = left.withColumn("titled", titled)
+    parts = F.array_distinct(F.flatten(F.transform("titled", _name_parts)))
+    words = F.filter(parts, lambda w: ~w.rlike(f"^{_INITIAL}$"))
+    known = F.flatten(F.transform("titled", lambda m: entities_of(m, F.lit("name"))))
+    left = left.withColumn("pattern", _with_mentions(words)).withColumn("known", known)
+
     def replacement(m: Column) -> Column:
         kind = kind_of(m)
+        mention = (kind == "name") & ~m.rlike(f"^(?:{_TITLE})\\.? ")
+        same = F.slice(F.filter("known", lambda e: (e["kind"] != "initial") & (e["canonical"] == F.lower(m))), 1, 1)
+        entities = F.when(mention, same).otherwise(entities_of(m, kind))
 
         def value(e: Column) -> Column:
             attempt = F.coalesce(F.try_element_at("attempts", F.concat_ws("\u0001", e["kind"], e["canonical"])), F.lit(0))
             return surrogate(e["kind"], e["canonical"], attempt, key)
 
-        return rendered(m, kind, F.transform(entities_of(m, kind), value))
+        return rendered(m, kind, F.transform(entities, value))
 
-    found = left.withColumn("found", F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
-    between = F.split("text", PATTERN, -1)
+    found = left.withColumn("found", F.coalesce(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)), F.array().cast("array<string>")))
+    between = F.split("text", F.col("pattern"), -1)
     new = F.transform(F.col("found"), replacement)
     put = F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("b"), new.alias("n")), lambda z: F.array(z["b"], F.coalesce(z["n"], F.lit(""))))), "")
     return found.select(

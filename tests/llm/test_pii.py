@@ -109,3 +109,24 @@ def test_names_never_run_out(spark, monkeypatch):
     used = entities.join(later, ["kind", "canonical"], "left")
     values = [r[0] for r in used.select(pii.surrogate(F.col("kind"), F.col("canonical"), F.coalesce("attempt", F.lit(0)), "k")).collect()]
     assert len(set(values)) == 40 and max(map(len, values)) > 8
+
+
+def test_names_of_all_forms_and_later_mentions(spark):
+    texts = {
+        "later": "Doe wrote. Dr. Jane Doe came; Doe said Jane's DOE, not doe or Doering.", "three": "Mrs. Mary Ann Evans left",
+        "hyphen": "Frau Müller-Schmidt ging, Müller-Schmidt kam", "inner": "Dr. McDonald and Mr. O'Brien's", "initials": "Mr. J. R. Smith, Mr J Smith",
+        "none": "Doe and Jane", "other": "Mr. Doe",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc string, text string")
+    rows = {r["row"]["doc"]: (r["replaced"], r["kinds"]) for r in pii.pseudonymize(df, "key").collect()}
+    out = {d: t for d, (t, _) in rows.items()}
+    later = re.fullmatch(r"(\w+) wrote\. Dr\. (\w+) (\w+) came; (\w+) said (\w+)'s (\w+), not doe or Doering\.", out["later"])
+    doe = out["other"].removeprefix("Mr. ")
+    assert later[1] == later[3] == later[4] == doe != "Doe" and later[6] == doe.upper() and later[5] == later[2] != "Jane"
+    assert rows["later"][1] == ["name"] * 5
+    assert re.fullmatch(r"Mrs\. \w+lia \w+lia \w+rd left", out["three"])
+    hyphen = re.fullmatch(r"Frau (\w+rd) ging, (\w+) kam", out["hyphen"])
+    assert hyphen[1] == hyphen[2]
+    assert re.fullmatch(r"Dr\. \w+rd and Mr\. \w+rd's", out["inner"])
+    initials = re.fullmatch(r"Mr\. [A-Z]\. [A-Z]\. (\w+rd), Mr [A-Z] (\w+rd)", out["initials"])
+    assert initials[1] == initials[2] and out["none"] == texts["none"]
