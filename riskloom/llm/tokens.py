@@ -23,23 +23,25 @@ class Encoder:
 
     A byte-level tokenizer of this kind never joins across a single space: the space starts the next piece. So a text
     without two spaces in a row is encoded piece by piece, and equal pieces only once; other texts are encoded whole.
+    The strings of special tokens give those tokens, or with ``plain`` the ids of ordinary text.
     """
 
-    def __init__(self, content: str) -> None:
+    def __init__(self, content: str, plain: bool = False, most_remembered: int = MOST_REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
         from tokenizers import Tokenizer
 
         loaded = worker_memory("tokenizers")
-        if content not in loaded:
+        if (content, plain) not in loaded:
             tokenizer = Tokenizer.from_str(content)
-            tokenizer.encode_special_tokens = True
+            tokenizer.encode_special_tokens = plain
             vocabulary = tokenizer.get_vocab()
             sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
             for token, number in vocabulary.items():
                 sizes[number] = len(token)  # a character of a byte-level token is a byte
-            loaded[content] = tokenizer, sizes
-        self.tokenizer, self.token_bytes = loaded[content]
-        self.known = worker_memory(f"pieces-{hash(content)}")
+            loaded[content, plain] = tokenizer, sizes
+        self.tokenizer, self.token_bytes = loaded[content, plain]
+        self.known = worker_memory(f"pieces-{hash(content)}-{plain}")
+        self.most_remembered = most_remembered
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -67,7 +69,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MOST_REMEMBERED:
+        if len(self.known) > self.most_remembered:
             self.known.clear()
         known = self.known
         split = [None if "  " in t else t.split(" ") for t in texts]

@@ -15,14 +15,12 @@ FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(FILE)
 
 
 def texts():
     rng = random.Random(2)
-    odd = ["", " ", "a", "  two", "two  spaces", "tail ", "tail  ", "\n\n x", "x \n y", "x\n y", "x \t y", "it's 's", "<|endoftext|> a", "naïve — ß", "汉字 " * 40, "a b  c", "1 2 3.4 !! ?", "x" * 3000, "é a"]
+    odd = ["", " ", "a", "  two", "two  spaces", "tail ", "tail  ", "\n\n x", "x \n y", "x\n y", "x \t y", "it's 's", "<|endoftext|> a", "a <|endoftext|> b", "a<|endoftext|>b  c <|endoftext|>", " <|endoftext|>", "naïve — ß", "汉字 " * 40, "a b  c", "1 2 3.4 !! ?", "x" * 3000, "é a"]
     return odd + ["".join(rng.choice(["th", "e", " ", " ", ".", "\n", "  ", "é", "9"]) for _ in range(rng.randrange(400))) for _ in range(60)]
 
 
@@ -33,6 +31,15 @@ def test_pieces_give_the_ids_of_the_tokenizer(tokenizer):
             assert ids == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_special_strings_can_be_plain_text(tokenizer):
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    plain = Tokenizer.from_file(FILE)
+    plain.encode_special_tokens = True
+    encoder = Encoder(open(FILE, encoding="utf-8").read(), plain=True)
+    for text, ids in zip(texts(), encoder.encode(texts()), strict=True):
+        assert ids == b"".join(i.to_bytes(4, "little") for i in plain.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def check(pieces, ids_of):
     of_doc, of_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
