@@ -28,7 +28,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", ["op3_secrets", "op9_chat", "op10_pii"])
