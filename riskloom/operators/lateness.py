@@ -52,6 +52,63 @@ def batch_watermarks(transactions: DataFrame, batch: str, out_of_orderness_ms: i
     )
 
 
+def partition_watermarks(
+    transactions: DataFrame, batch: str, partition: str, arrived: str, out_of_orderness_ms: int, idle_ms: int
+) -> DataFrame:
+    """``batch, watermark_ms``: the least of the partitions' newest event times before each batch, less the allowed disorder.
+
+    ``arrived`` is the time in milliseconds at which a batch came in, the same for all of its rows.  A partition without rows
+    for ``idle_ms`` is idle and left out until rows come again; one that has had none yet counts from the first batch
+    on, so it holds the watermark back until it is idle.  The watermark never moves back, and stays while all
+    partitions are idle.  Every batch of the input gets a row; NULL means that nothing is late yet.
+
+    Rows combine to one for each batch and partition, a report.  It is good until the partition's next batch and for
+    ``idle_ms`` at most, so it meets only the batches of the two spans of that length that it touches.  A window holds the
+    reports of one partition; nothing holds those of all.
+    """
+    numbered = transactions.where(F.col(batch).isNotNull())
+    reports = numbered.groupBy(F.col(batch).cast("bigint").alias("batch"), F.col(partition).alias("part")).agg(
+        F.max("ts_ms").alias("newest"), F.max(arrived).alias("at")
+    )
+    steps = reports.groupBy("batch").agg(F.max("at").alias("time"))
+    first = steps.agg(F.min("time").alias("opened"), F.min("batch").alias("opening"))
+    opening = reports.select("part").distinct().crossJoin(F.broadcast(first))  # one row on the right
+    silent = opening.select(
+        (F.col("opening") - 1).alias("batch"), "part", F.lit(None).cast("bigint").alias("newest"), F.col("opened").alias("at")
+    )
+    turns = Window.partitionBy("part").orderBy("batch")
+    held = (
+        reports.unionByName(silent)
+        .withColumn("most", F.max("newest").over(turns.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("until", F.lead("batch").over(turns))
+        .select("batch", "until", "most", "at", F.explode(F.array((F.col("at") / idle_ms).cast("bigint"), (F.col("at") / idle_ms).cast("bigint") + 1)).alias("span"))
+    )
+    placed = steps.select(F.col("batch").alias("step"), "time", (F.col("time") / idle_ms).cast("bigint").alias("span"))
+    active = placed.join(held, "span").where(
+        (F.col("step") > F.col("batch")) & (F.col("until").isNull() | (F.col("step") <= F.col("until"))) & (F.col("time") - F.col("at") < idle_ms)
+    )
+    least = active.groupBy(F.col("step").alias("key")).agg(
+        F.when(F.count("most") == F.count("*"), F.min("most")).alias("newest")
+    )
+    known = steps.select(F.col("batch").alias("key")).join(least, "key", "left")
+    so_far = _newest_before(known).join(known, "key")
+    return so_far.select(F.col("key").alias(batch), (F.greatest("before", "newest") - out_of_orderness_ms).alias("watermark_ms"))
+
+
+def with_partition_lateness(
+    transactions: DataFrame,
+    batch: str,
+    partition: str,
+    arrived: str,
+    out_of_orderness_ms: int,
+    idle_ms: int,
+    allowed_ms: int = 0,
+) -> DataFrame:
+    """Adds ``watermark_ms`` and ``lateness`` as ``with_lateness`` does, with one watermark a partition."""
+    marks = partition_watermarks(transactions, batch, partition, arrived, out_of_orderness_ms, idle_ms)
+    return transactions.join(marks, batch, "left").withColumn("lateness", lateness(F.col("ts_ms"), F.col("watermark_ms"), allowed_ms))
+
+
 def with_lateness(
     transactions: DataFrame, batch: str, out_of_orderness_ms: int, allowed_ms: int = 0
 ) -> DataFrame:
