@@ -12,7 +12,7 @@ from riskloom.config import EngineConfig
 from riskloom.functions.instants import format_instant
 from riskloom.operators.counters import duplicates_dropped, message_counts, outcome_metrics
 from riskloom.operators.dedup import first_per_transaction
-from riskloom.operators.lateness import with_lateness
+from riskloom.operators.lateness import partition_watermarks, with_lateness, with_partition_lateness
 from riskloom.operators.parse import parse_messages
 from riskloom.operators.route import (
     alert_records,
@@ -25,6 +25,7 @@ from riskloom.operators.route import (
 from riskloom.operators.score import high_risk_alerts, with_score
 from riskloom.operators.slices import with_history_at_scale
 from riskloom.operators.validate import dead_letters, valid_transactions
+from riskloom.plans import streams
 from riskloom.plans.assemble import checked_messages, evaluated
 from riskloom.rules import risk as risk_rule_classes
 from riskloom.rules import validation as validation_rule_classes
@@ -238,6 +239,26 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("transaction_id", "arrival_batch", "watermark_ms", "lateness")
 
 
+def _partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of a hundred turns every four seconds from four partitions: one runs two batches behind, one falls silent
+    for 48 seconds again and again."""
+    event_id = F.col("transaction_id").cast("bigint")
+    turn = F.floor(event_id / F.lit(100).cast("decimal(3,0)")).cast("bigint")
+    silent = (F.floor(turn / F.lit(12).cast("decimal(2,0)")).cast("bigint") % 2 == 1) & (event_id % 4 == 3)
+    placed = _transactions(spark, sf_dir).withColumn("source", F.when(silent, 0).otherwise(event_id % 4).cast("int"))
+    batch = turn + F.when(F.col("source") == 2, 2).otherwise(0)
+    return placed.withColumn("arrival_batch", batch).withColumn("arrived_ms", F.col("arrival_batch") * 4_000)
+
+
+def partition_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition_watermarks(_partitioned(spark, sf_dir), "arrival_batch", "source", "arrived_ms", 30_000, 30_000)
+
+
+def partition_lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = with_partition_lateness(_partitioned(spark, sf_dir), "arrival_batch", "source", "arrived_ms", 5_000, 30_000, 20_000)
+    return marked.select("transaction_id", "arrival_batch", "source", "watermark_ms", "lateness")
+
+
 def _tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All arrivals evaluated with two minutes of allowed lateness: scored in event-time order, or LATE."""
     arrivals = _arrivals(spark, sf_dir).withColumns(
@@ -405,6 +426,8 @@ def catalog() -> dict[str, Query]:
         "high_risk_alerts": alert_rows,
         "end_to_end_results": end_to_end,
         "late_transactions": late_rows,
+        "partition_watermarks": partition_marks,
+        "partition_lateness": partition_lateness,
         "tolerated_results": tolerated_results,
         "outcome_counters": outcome_counters,
         "unique_by_arrival": unique_by_arrival,
@@ -417,4 +440,7 @@ def catalog() -> dict[str, Query]:
         "rejected_records": rejected_records,
         "first_write_scores": first_write_scores,
         "first_write_alerts": first_write_alerts,
+        "log_records": streams.log_records,
+        "stream_results": streams.stream_results,
+        "stream_state": streams.stream_state,
     }

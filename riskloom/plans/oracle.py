@@ -37,7 +37,12 @@ def _history(source: str, name: str = "ctx") -> str:
   SELECT t.id AS tid, t.ts_ms - p.ts_ms AS age, p.rn, p.country, p.declined, p.units
   FROM {name}_o t JOIN {name}_o p ON p.customer = t.customer AND p.rn BETWEEN t.rn - 100 AND t.rn - 1
     AND t.ts_ms - p.ts_ms <= 3600000 + CASE WHEN t.first_of_instant THEN 1 ELSE 0 END),
-{name}_g AS (
+{_features(name)}"""
+
+
+def _features(name: str) -> str:
+    """Context columns from ``{name}_o``, rows, and ``{name}_p``, the history that each of them sees."""
+    return f"""{name}_g AS (
   SELECT tid,
     count(*) FILTER (age < 60000) AS n_minute,
     count(*) FILTER (age < 300000 AND declined) AS n_declined,
@@ -264,6 +269,57 @@ marks AS (
   SELECT b.arrival_batch, max(e.newest) - 30000 AS watermark_ms
   FROM batches b LEFT JOIN batches e ON e.arrival_batch < b.arrival_batch GROUP BY b.arrival_batch),
 arrived AS (SELECT tx.*, watermark_ms FROM tx JOIN marks USING (arrival_batch))"""
+_SOURCES = f"""{_tx()}, placed AS (
+  SELECT *, CASE WHEN (event_id // 100) // 12 % 2 = 1 AND event_id % 4 = 3 THEN 0 ELSE CAST(event_id % 4 AS INTEGER) END AS source FROM tx),
+sent AS (SELECT *, event_id // 100 + CASE WHEN source = 2 THEN 2 ELSE 0 END AS arrival_batch FROM placed),
+steps AS (SELECT DISTINCT arrival_batch, arrival_batch * 4000 AS now FROM sent),
+reports AS (SELECT arrival_batch, source, max(ts_ms) AS newest FROM sent GROUP BY ALL),
+held AS (
+  SELECT s.arrival_batch, s.now, p.source, max(r.newest) AS newest,
+    coalesce(max(r.arrival_batch) * 4000, (SELECT min(now) FROM steps)) AS heard
+  FROM steps s CROSS JOIN (SELECT DISTINCT source FROM sent) p
+  LEFT JOIN reports r ON r.source = p.source AND r.arrival_batch < s.arrival_batch GROUP BY s.arrival_batch, s.now, p.source),
+low AS (
+  SELECT arrival_batch, CASE WHEN count(newest) = count(*) THEN min(newest) END AS least
+  FROM held WHERE now - heard < 30000 GROUP BY arrival_batch),
+part_marks AS (
+  SELECT s.arrival_batch, max(least) OVER (ORDER BY s.arrival_batch) AS top FROM steps s LEFT JOIN low l ON l.arrival_batch = s.arrival_batch)"""
+# The log of plans/streams.py: its order, its batches, and what each batch finds behind the watermark. A row on time is
+# evaluated by the first batch whose watermark has reached it, before the rows that this batch brings.
+_STREAM = f"""{_CHECKED}, size AS (SELECT max(event_id) + 1 AS n FROM events),
+log AS (
+  SELECT event_id, event_id % 4 AS p, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id
+    + CASE WHEN event_id % 11 = 0 THEN n // 5 WHEN event_id % 7 = 0 THEN n // 20 ELSE 0 END, event_id) - 1 AS o,
+    o // ((n + 39) // 40) AS batch
+  FROM events, size),
+brought AS (
+  SELECT v.id, v.customer, v.amount, v.country, v.declined, v.ts_ms, log.batch, log.p, log.o
+  FROM valid v JOIN log ON log.event_id = v."offset" * 4 + v."partition"
+  QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY log.batch, log.p, log.o) = 1),
+turns AS (SELECT unnest(generate_series(0, (SELECT max(batch) + 1 FROM log))) AS batch),
+newest AS (SELECT batch, max(ts_ms) AS top FROM brought GROUP BY batch),
+mark AS (
+  SELECT t.batch, coalesce(max(n.top) - 30000, 0) AS w
+  FROM turns t LEFT JOIN newest n ON n.batch < t.batch GROUP BY t.batch),
+judged AS (
+  SELECT b.*, k.w, CASE WHEN b.ts_ms > k.w THEN 'ON_TIME' WHEN b.ts_ms > k.w - 300000 THEN 'TOLERATED' ELSE 'LATE' END AS lateness
+  FROM brought b JOIN mark k ON k.batch = b.batch),
+timed AS (
+  SELECT j.*, CASE WHEN lateness = 'ON_TIME' THEN (SELECT min(k.batch) FROM mark k WHERE k.w >= j.ts_ms) ELSE batch END AS done
+  FROM judged j),
+ctx_o AS (
+  SELECT *, row_number() OVER (ORDER BY done, lateness = 'TOLERATED', CASE WHEN lateness = 'ON_TIME' THEN ts_ms END,
+      CASE WHEN lateness = 'ON_TIME' THEN id END, p, o) AS seq,
+    CASE WHEN declined THEN 0 ELSE CAST(amount * 100000000 AS HUGEINT) END AS units
+  FROM timed WHERE done IS NOT NULL AND lateness <> 'LATE'),
+seen AS (
+  SELECT t.id AS tid, t.ts_ms - s.ts_ms AS age, s.country, s.declined, s.units, t.lateness, t.w - s.ts_ms AS behind,
+    row_number() OVER (PARTITION BY t.id ORDER BY s.ts_ms DESC, s.seq DESC) AS back, max(s.ts_ms) OVER (PARTITION BY t.id) < t.ts_ms AS opens
+  FROM ctx_o t JOIN ctx_o s ON s.customer = t.customer AND s.seq < t.seq),
+ctx_p AS (
+  SELECT *, -back AS rn FROM seen WHERE back <= 100 AND age >= 0
+    AND CASE WHEN lateness = 'ON_TIME' THEN age <= 3600000 + CASE WHEN opens THEN 1 ELSE 0 END ELSE behind <= 3600000 END),
+{_features('ctx')}"""
 _TABLE_COLUMNS = f"{_instant('ts_ms')} AS event_time"
 _REPLAY = f"""{_SCORED}, {_rules(STRICT_SETTINGS, name="strict_fired")}, {_scored("strict_fired", "strict")},
 record AS (
@@ -328,6 +384,11 @@ SELECT id AS transaction_id, arrival_batch, watermark_ms,
   CASE WHEN watermark_ms IS NULL OR ts_ms > watermark_ms THEN 'ON_TIME'
     WHEN ts_ms > watermark_ms - 120000 THEN 'TOLERATED' ELSE 'LATE' END AS lateness
 FROM arrived""",
+        "partition_watermarks": f"WITH {_SOURCES} SELECT arrival_batch, top - 30000 AS watermark_ms FROM part_marks",
+        "partition_lateness": f"""WITH {_SOURCES}
+SELECT id AS transaction_id, s.arrival_batch, source, top - 5000 AS watermark_ms,
+  CASE WHEN top IS NULL OR ts_ms > top - 5000 THEN 'ON_TIME' WHEN ts_ms > top - 25000 THEN 'TOLERATED' ELSE 'LATE' END AS lateness
+FROM sent s JOIN part_marks m ON m.arrival_batch = s.arrival_batch""",
         "tolerated_results": f"""WITH {_ARRIVALS},
 in_time AS (SELECT * FROM arrived WHERE watermark_ms IS NULL OR ts_ms > watermark_ms - 120000),
 {_history("in_time")}, {_rules({})}, {_scored()}
@@ -383,4 +444,19 @@ SELECT id AS transaction_id, risk_score, risk_level, reasons_json AS reasons FRO
         "first_write_alerts": f"""{_REPLAY}
 SELECT r.id AS transaction_id, r.risk_score, r.risk_level, r.reasons_json AS reasons
 FROM record r JOIN scored s ON s.id = r.id AND s.risk_level = r.risk_level WHERE s.risk_level = 'HIGH'""",
+        "log_records": f"""WITH {_MESSAGES}, size AS (SELECT max(event_id) + 1 AS n FROM events),
+log AS (
+  SELECT event_id % 4 AS p, event_id // 4 AS sent, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id
+    + CASE WHEN event_id % 11 = 0 THEN n // 5 WHEN event_id % 7 = 0 THEN n // 20 ELSE 0 END, event_id) - 1 AS o
+  FROM events, size)
+SELECT m.topic, m."partition", o AS "offset", coalesce(m.payload, '') AS payload
+FROM log JOIN msg m ON m."partition" = log.p AND m."offset" = log.sent""",
+        "stream_results": f"""WITH {_STREAM}, {_rules({})}, {_scored()}
+SELECT id AS transaction_id, customer AS customer_id, lateness, risk_score, risk_level, reasons, recent_transaction_count AS history_count
+FROM scored
+UNION ALL
+SELECT id, customer, lateness, NULL, NULL, NULL, NULL FROM timed WHERE lateness = 'LATE'""",
+        "stream_state": f"""WITH {_STREAM}
+SELECT customer AS customer_id, count(*) FILTER (done IS NULL) AS waiting, least(100, count(*) FILTER (done IS NOT NULL)) AS history
+FROM timed WHERE lateness <> 'LATE' GROUP BY customer""",
     }

@@ -28,14 +28,15 @@ def topic_source_options(config: EngineConfig, *, max_offsets_per_trigger: int |
     return options
 
 
-def _raw(df: DataFrame) -> DataFrame:
+def raw_messages(df: DataFrame) -> DataFrame:
+    """The columns that parsing starts from, of whatever source delivers them."""
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in m.RAW_SCHEMA])
 
 
 def read_topic(spark: SparkSession, config: EngineConfig, *, streaming: bool = True, **options: int) -> DataFrame:
     """Messages with their coordinates.  Needs the Kafka connector on the class path."""
     reader = spark.readStream if streaming else spark.read
-    return _raw(reader.format("kafka").options(**topic_source_options(config, **options)).load())
+    return raw_messages(reader.format("kafka").options(**topic_source_options(config, **options)).load())
 
 
 def read_raw_table(spark: SparkSession, path: str, *, streaming: bool = False, max_files: int | None = None) -> DataFrame:

@@ -40,6 +40,7 @@ CARRIED_ROW = T.StructType(
     [T.StructField(f.name, T.LongType() if f.name == "timestamp" else f.dataType) for f in CARRIED_SCHEMA]
 )
 WAITING_SCHEMA = T.StructType([T.StructField("rows", T.ArrayType(CARRIED_ROW))])
+SCHEDULE_SCHEMA = T.StructType([T.StructField("wakes_at", T.LongType()), T.StructField("firsts", T.ArrayType(T.LongType()))])
 EVALUATED_SCHEMA = T.StructType(
     [*CARRIED_ROW.fields, *m.CONTEXT_FIELDS, T.StructField("lateness", T.StringType())]
 )
@@ -75,7 +76,14 @@ class InEventOrder(StatefulProcessor):
     """Holds a customer's rows until the watermark reaches them, then emits each with its history context.
 
     Rows of one instant are ordered by id.  A row at or behind the watermark is emitted at once: as TOLERATED with the
-    history of that moment when the allowed lateness covers it, otherwise as LATE without context.
+    history of that moment when the allowed lateness covers it, otherwise as LATE without context.  Tolerated rows of one
+    batch follow the order of their coordinates.
+
+    Whatever the watermark has reached is evaluated before new rows are looked at, as if the watermark had moved just
+    before they arrived.  Results therefore depend on the batches alone, not on when timers run.
+
+    Waiting rows are kept by minute.  ``schedule`` holds the first instant of each minute that has any, in order, so that a
+    timer reads the due minutes only.
     """
 
     def __init__(self, allowed_lateness_ms: int, retention_ms: int, max_entries: int) -> None:
@@ -86,67 +94,96 @@ class InEventOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._history = handle.getListState("history", ENTRY_SCHEMA)
-        instant = T.StructType([T.StructField("ts_ms", T.LongType())])
-        self._waiting = handle.getMapState("waiting", instant, WAITING_SCHEMA)
-        self._wakes_at = handle.getValueState("wakes_at", instant)
+        self._waiting = handle.getMapState("waiting", T.StructType([T.StructField("minute", T.LongType())]), WAITING_SCHEMA)
+        self._schedule = handle.getValueState("schedule", SCHEDULE_SCHEMA)
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
+        wakes_at, firsts = self._scheduled()
         history = None
-        earliest = None
+        if firsts and firsts[0] <= watermark:
+            history = self._load()
+            for done, history in self._reached(firsts, watermark, history):
+                yield _frame(done)
+        tolerated: list[tuple] = []
+        arrived: dict[int, list[tuple]] = {}
         for frame in rows:
-            out = []
-            buckets: dict[int, list] = {}
+            late = []
             for row in frame[CARRIED].itertuples(index=False, name=None):
                 row = _plain(row)
                 ts = row[_TS]
                 if ts > watermark:
-                    buckets.setdefault(ts, []).append(row)
+                    arrived.setdefault(ts // m.MINUTE_MS, []).append(row)
                 elif ts <= watermark - self._allowed_ms:
-                    out.append((*row, *_NO_CONTEXT, "LATE"))
+                    late.append((*row, *_NO_CONTEXT, "LATE"))
                 else:
-                    history = self._load() if history is None else history
-                    alive = [e for e in history if watermark - self._retention_ms <= e[0] <= ts]
-                    out.append((*row, *_context(row, alive), "TOLERATED"))
-                    history = self._appended(history, row)
-            for ts, new in buckets.items():
-                held = list(self._waiting.getValue((ts,))[0]) if self._waiting.containsKey((ts,)) else []
-                self._waiting.updateValue((ts,), ([tuple(r) for r in held] + new,))
-                earliest = ts if earliest is None else min(earliest, ts)
-            if out:
-                yield _frame(out)
+                    tolerated.append(row)
+            if late:
+                yield _frame(late)
+        if tolerated:
+            history = self._load() if history is None else history
+            out = []
+            for row in sorted(tolerated, key=_coordinates):
+                alive = [e for e in history if watermark - self._retention_ms <= e[0] <= row[_TS]]
+                out.append((*row, *_context(row, alive), "TOLERATED"))
+                history = self._appended(history, row)
+            yield _frame(out)
         if history is not None:
             self._store(history)
-        self._wake(watermark, earliest, history)
+        for minute, new in arrived.items():
+            self._wait(firsts, minute, new)
+        self._wake(watermark, wakes_at, firsts, history)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        self._wakes_at.clear()
+        _, firsts = self._scheduled()
         history = self._load()
-        instants = sorted(k[0] for k in self._waiting.keys())
+        for done, history in self._reached(firsts, watermark, history):
+            yield _frame(done)
+        history = [e for e in history if e[0] >= watermark - self._retention_ms]
+        self._store(history)
+        self._wake(watermark, None, firsts, history)
+
+    def _reached(self, firsts: list[int], watermark: int, history: list[tuple]) -> Iterator[tuple[list[tuple], list[tuple]]]:
+        """Evaluates the rows up to the watermark, minute by minute; takes them out of the state and of ``firsts``."""
         out = []
-        for ts in instants:
-            if ts > watermark:
-                break
-            waiting = sorted((tuple(r) for r in self._waiting.getValue((ts,))[0]), key=lambda r: r[_ID])
-            self._waiting.removeKey((ts,))
-            for row in waiting:
+        while firsts and firsts[0] <= watermark:
+            minute = firsts[0] // m.MINUTE_MS
+            waiting = [tuple(r) for r in self._waiting.getValue((minute,))[0]]
+            due = sorted((r for r in waiting if r[_TS] <= watermark), key=lambda r: (r[_TS], r[_ID]))
+            rest = [r for r in waiting if r[_TS] > watermark]
+            for row in due:
+                ts = row[_TS]
                 first_of_instant = not history or history[-1][0] < ts
                 oldest = ts - self._retention_ms - (1 if first_of_instant else 0)
                 out.append((*row, *_context(row, [e for e in history if oldest <= e[0] <= ts]), "ON_TIME"))
                 history = self._appended(history, row)
+            if rest:
+                self._waiting.updateValue((minute,), (rest,))
+                firsts[0] = min(r[_TS] for r in rest)
+            else:
+                self._waiting.removeKey((minute,))
+                del firsts[0]
             if len(out) >= _OUT_ROWS:
-                yield _frame(out)
+                yield out, history
                 out = []
-        history = [e for e in history if e[0] >= watermark - self._retention_ms]
-        self._store(history)
-        still_waiting = next((ts for ts in instants if ts > watermark), None)
-        self._wake(watermark, still_waiting, history)
         if out:
-            yield _frame(out)
+            yield out, history
+
+    def _wait(self, firsts: list[int], minute: int, new: list[tuple]) -> None:
+        """Adds rows to a minute, and the minute to the schedule."""
+        at = bisect_left(firsts, minute * m.MINUTE_MS)
+        first = min(r[_TS] for r in new)
+        if at < len(firsts) and firsts[at] // m.MINUTE_MS == minute:
+            held = [tuple(r) for r in self._waiting.getValue((minute,))[0]]
+            firsts[at] = min(firsts[at], first)
+        else:
+            held = []
+            firsts.insert(at, first)
+        self._waiting.updateValue((minute,), (held + new,))
 
     def _load(self) -> list[tuple]:
         return [tuple(e) for e in self._history.get()]
@@ -157,6 +194,11 @@ class InEventOrder(StatefulProcessor):
         else:
             self._history.clear()
 
+    def _scheduled(self) -> tuple[int | None, list[int]]:
+        """When the customer's timer is set, and the first waiting instant of each minute."""
+        kept = self._schedule.get() if self._schedule.exists() else None
+        return (kept[0], list(kept[1])) if kept else (None, [])
+
     def _appended(self, history: list[tuple], row: tuple) -> list[tuple]:
         """Inserts after entries of the same instant; keeps the newest entries within the retention of the newest."""
         entry = (row[_TS], _ZERO if row[_AMOUNT] is None else row[_AMOUNT], row[_COUNTRY], row[_STATUS] == m.DECLINED)
@@ -166,18 +208,21 @@ class InEventOrder(StatefulProcessor):
         expired = bisect_left(entries, _instant(entries[-1]) - self._retention_ms - 1, key=_instant)
         return entries[max(expired, len(entries) - self._max_entries) :]
 
-    def _wake(self, watermark: int, waiting_ts: int | None, history: list[tuple] | None) -> None:
+    def _wake(self, watermark: int, current: int | None, firsts: list[int], history: list[tuple] | None) -> None:
         """One timer per customer: at the first waiting instant, else when the newest entry expires."""
-        current = self._wakes_at.get()[0] if self._wakes_at.exists() else None
-        wanted = waiting_ts
+        wanted = firsts[0] if firsts else None
         if wanted is None and history:
             wanted = history[-1][0] + self._retention_ms + 1
-        if wanted is None or (current is not None and current <= wanted):
-            return
-        if current is not None:
-            self._handle.deleteTimer(current)
-        self._handle.registerTimer(wanted)
-        self._wakes_at.update((wanted,))
+        if current is not None and (wanted is None or current <= wanted):
+            wanted = current
+        elif wanted is not None:
+            if current is not None:
+                self._handle.deleteTimer(current)
+            self._handle.registerTimer(wanted)
+        if wanted is None and not firsts:
+            self._schedule.clear()
+        else:
+            self._schedule.update((wanted, firsts))
 
 
 _ID = CARRIED.index("transaction_id")
@@ -186,6 +231,7 @@ _COUNTRY = CARRIED.index("country")
 _STATUS = CARRIED.index("payment_status")
 _TS = CARRIED.index("ts_ms")
 _instant = itemgetter(0)
+_coordinates = itemgetter(*[CARRIED.index(c) for c in m.COORDINATES])
 _NO_CONTEXT = (None,) * len(m.CONTEXT_COLUMNS)
 
 

@@ -113,7 +113,7 @@ def test_order_lateness_and_expiry(harness):
     h.advance_to(20_000)
     h.advance_to(20_001)
     assert h.customers_in("history") == []  # everything evaluated so far has expired
-    assert h.customers_in("wakes_at") == ["clock"]
+    assert h.customers_in("schedule") == ["clock"]
 
 
 def test_allowed_lateness(harness):
