@@ -115,7 +115,11 @@ def write_archives(
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
-    """One row for each record of the archives named in ``file``, except those that describe the archive."""
+    """One row for each record of the archives named in ``file``, except those that describe the archive.
+
+    An archive is read in sequence, so there is a task for each: a given number of partitions, as a list of names is
+    so small that Spark would otherwise read all archives in one task.
+    """
     require(files, ("file",))
     names = [part.split()[0] for part in _RECORD.split(", ")]
     kinds = [pa.binary() if n == "payload" else pa.int64() if n == "offset" else pa.string() for n in names]
@@ -143,7 +147,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                 yield batch_of(rows)
 
     named = files.select("file").distinct()
-    return named.repartition("file").mapInArrow(read, _RECORD)
+    return named.repartition(max(1, named.count())).mapInArrow(read, _RECORD)
 
 
 def _row(file: str, offset: int, content) -> tuple | None:

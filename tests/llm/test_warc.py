@@ -82,3 +82,23 @@ def test_framing_and_digests_are_checked(old, new):
 def test_empty_table(spark, tmp_path):
     df, _ = pages(spark)
     assert read_archives(write_archives(df.limit(0), str(tmp_path / "none")), str(tmp_path / "none")).count() == 0
+
+
+def test_a_reading_task_for_each_archive_by_default(spark, tmp_path):
+    """Also where Spark joins small partitions, as an ordinary session does."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        df = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>" * 50) for i in range(400)], "page_id long, url string, html string")
+        folder = str(tmp_path / "warc")
+        manifest = write_archives(df, folder, archive_bytes=2_000)
+        archives = manifest.count()
+        records = read_archives(manifest, folder)
+        from pyspark.sql import functions as F
+
+        tasks = records.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("file").alias("files")).collect()
+        assert archives > 10 and len(tasks) == archives and all(t["files"] == 1 for t in tasks)
+        assert records.count() == 400
+    finally:
+        spark.conf.set(name, before)
