@@ -12,6 +12,7 @@ from riskloom.config import EngineConfig
 from riskloom.functions.instants import format_instant
 from riskloom.operators.counters import duplicates_dropped, message_counts, outcome_metrics
 from riskloom.operators.dedup import first_per_transaction
+from riskloom.operators.flush import flush_batches
 from riskloom.operators.lateness import partition_watermarks, with_lateness, with_partition_lateness
 from riskloom.operators.parse import parse_messages
 from riskloom.operators.route import (
@@ -370,6 +371,14 @@ def _replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return _to_persist(contexts), transaction_rows(earlier, now), score_rows(earlier, now)
 
 
+def flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes of 500 rows or 200 ms. Two thirds of the rows come in by one writer, in a few seconds, so that both limits bind."""
+    event_id = F.col("transaction_id").cast("bigint")
+    writer = F.when(event_id % 3 != 0, "hot").otherwise(F.concat(F.lit("w"), (F.col("customer_id").cast("bigint") % 5).cast("string")))
+    rows = _transactions(spark, sf_dir, 1_000_000).select(writer.alias("writer"), "ts_ms", event_id.alias("event_id"))
+    return flush_batches(rows, "writer", "ts_ms", "event_id", slice_rows=5_000)
+
+
 def first_write_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``risk_scores`` after a replay of all events onto an earlier partial write."""
     replay, transactions, scores = _replay(spark, sf_dir)
@@ -438,6 +447,7 @@ def catalog() -> dict[str, Query]:
         "stored_transactions": stored_transactions,
         "stored_scores": stored_scores,
         "rejected_records": rejected_records,
+        "flush_batches": flushed,
         "first_write_scores": first_write_scores,
         "first_write_alerts": first_write_alerts,
         "log_records": streams.log_records,

@@ -439,6 +439,18 @@ FROM scored""",
     WHEN event_id % 11 = 0 THEN 'country is longer than 2'
     WHEN event_id % 19 = 0 THEN 'amount does not fit NUMERIC(19,4)' END AS rejection FROM tx)
 SELECT id AS transaction_id, rejection FROM judged WHERE rejection IS NOT NULL""",
+        "flush_batches": f"""WITH RECURSIVE {_tx(1_000_000)}, sent AS (
+  SELECT event_id, ts_ms, CASE WHEN event_id % 3 <> 0 THEN 'hot' ELSE 'w' || (CAST(customer AS BIGINT) % 5) END AS key FROM tx),
+placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms, event_id) AS place FROM sent),
+closed AS (
+  SELECT *, least(place + 500, max(place) OVER (PARTITION BY key ORDER BY ts_ms RANGE BETWEEN CURRENT ROW AND 199 FOLLOWING) + 1) AS next
+  FROM placed),
+opened AS (
+  SELECT key, place, next, 1 AS batch FROM closed WHERE place = 1
+  UNION ALL
+  SELECT c.key, c.place, c.next, o.batch + 1 FROM opened o JOIN closed c ON c.key = o.key AND c.place = o.next)
+SELECT o.key, CAST(o.batch AS BIGINT) AS batch, o.next - o.place AS rows, f.event_id AS first_id, f.ts_ms AS first_ms, l.ts_ms AS last_ms
+FROM opened o JOIN placed f ON f.key = o.key AND f.place = o.place JOIN placed l ON l.key = o.key AND l.place = o.next - 1""",
         "first_write_scores": f"""{_REPLAY}
 SELECT id AS transaction_id, risk_score, risk_level, reasons_json AS reasons FROM record""",
         "first_write_alerts": f"""{_REPLAY}
