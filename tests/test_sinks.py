@@ -282,3 +282,56 @@ def test_a_second_load_keeps_the_first(spark, ledger, tmp_path):
     assert ledger.last_batch() == 1
     with pytest.raises(ValueError, match="older"):
         run_batch(read_raw_table(spark, path), EngineConfig(), ledger, topics, batch_id=0)
+
+
+class RefusingDatabase:
+    """Runs the merges over the staged folders: first write wins, records of one country are refused with a constraint error."""
+
+    def __init__(self, spark, staged, refused):
+        self.spark, self.staged, self.refused, self.stored, self.calls = spark, staged, refused, {}, 0
+
+    def __call__(self, statements):
+        import re
+
+        self.calls += 1
+        if statements[0].startswith("DROP"):
+            return [0] * len(statements)
+        table = re.search(r"FROM (staging_transactions_\d+)", statements[0])[1]
+        bounds = re.search(r"slot >= (\d+) AND slot < (\d+)", statements[0])
+        rows = self.spark.read.parquet(str(self.staged / table))
+        if bounds:
+            rows = rows.where(f"slot >= {bounds[1]} and slot < {bounds[2]}")
+        rows = {r["transaction_id"]: r for r in rows.collect()}
+        if self.refused & rows.keys():
+            error = RuntimeError("violates a check")
+            error.sqlstate = "23514"
+            raise error
+        new = rows.keys() - self.stored.keys()
+        self.stored |= {i: rows[i] for i in new}
+        return [len(new), 0, 0, *[0] * (len(statements) - 3)]
+
+
+def test_database_refuses_single_records(spark, tmp_path, monkeypatch):
+    import riskloom.sinks.database as database
+
+    staged = tmp_path / "staged"
+    monkeypatch.setattr(database, "jdbc_options", lambda config, table: {"path": str(staged / table)})
+    store = RefusingDatabase(spark, staged, {"d3", "d11"})
+    sink = DatabaseSink(DatabaseConfig(), store, str(tmp_path / "aside"), format="parquet")
+    topics = TopicSinks(format="parquet", folder=str(tmp_path / "topics"))
+    path = str(tmp_path / "raw")
+    from_payloads(spark, [payload(f"d{i}", customer=f"c{i}") for i in range(16)]).write.parquet(path)
+    run_batch(read_raw_table(spark, path), EngineConfig(), sink, topics, batch_id=1)
+    assert sorted(store.stored) == sorted(f"d{i}" for i in range(16) if i not in (3, 11))
+    rejected = spark.read.parquet(f"{sink.root}/rejected").collect()
+    assert {(r["transaction_id"], r["rejection"]) for r in rejected} == {("d3", "violates a check"), ("d11", "violates a check")}
+    assert (sink.counters.rows_written, sink.counters.records_skipped) == (14, 2)
+    run_batch(read_raw_table(spark, path), EngineConfig(), sink, topics, batch_id=2)  # a replay under another number
+    assert sink.counters.rows_written == 14 and len(store.stored) == 14  # counts what the merge inserted
+
+
+def test_ranged_merge_statements():
+    ranged = merge_statements(7, (5, 9))
+    assert len(ranged) == 3 and "WHERE slot >= 5 AND slot < 9 ON CONFLICT" in ranged[0]
+    assert "WHERE a.slot >= 5 AND a.slot < 9 ON CONFLICT" in ranged[2]
+    assert "WHERE" not in "".join(merge_statements(7)[:2])
