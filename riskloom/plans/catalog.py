@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,8 @@ from riskloom.rules.registry import risk_rules
 from riskloom.rules.validation import invariant_violations
 from riskloom.sinks.constraints import split_rejected
 from riskloom.sinks.first_write import new_alerts, new_rows
-from riskloom.session import staged
+from riskloom.sinks.id_index import IdIndex
+from riskloom.session import shared_folder, staged
 from riskloom.sources.tables import events_as_messages, events_as_transactions, read_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,6 +388,17 @@ def first_write_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.unionByName(added).select("transaction_id", F.col("risk_score").cast("int").alias("risk_score"), "risk_level", "reasons")
 
 
+def indexed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``risk_scores`` after the same replay, where an index over three earlier batches tells which ids are stored."""
+    replay, transactions, scores = _replay(spark, sf_dir)
+    index = IdIndex(spark, f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}", buckets=16)
+    for batch in range(3):
+        index.add(transactions.where(F.pmod(F.xxhash64("transaction_id"), F.lit(3)) == batch), batch)
+    known = index.known(replay, 3)
+    _, added = new_rows(replay, known, known, F.current_timestamp())
+    return scores.unionByName(added).select("transaction_id", F.col("risk_score").cast("int").alias("risk_score"), "risk_level", "reasons")
+
+
 def first_write_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fraud_alerts`` after the same replay: only alerts that agree with the score on record."""
     replay, transactions, scores = _replay(spark, sf_dir)
@@ -450,6 +463,7 @@ def catalog() -> dict[str, Query]:
         "flush_batches": flushed,
         "first_write_scores": first_write_scores,
         "first_write_alerts": first_write_alerts,
+        "indexed_first_write_scores": indexed_scores,
         "log_records": streams.log_records,
         "stream_results": streams.stream_results,
         "stream_state": streams.stream_state,

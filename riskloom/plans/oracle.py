@@ -452,6 +452,8 @@ opened AS (
 SELECT o.key, CAST(o.batch AS BIGINT) AS batch, o.next - o.place AS rows, f.event_id AS first_id, f.ts_ms AS first_ms, l.ts_ms AS last_ms
 FROM opened o JOIN placed f ON f.key = o.key AND f.place = o.place JOIN placed l ON l.key = o.key AND l.place = o.next - 1""",
         "first_write_scores": f"""{_REPLAY}
+SELECT id AS transaction_id, risk_score, risk_level, reasons_json AS reasons FROM record""",
+        "indexed_first_write_scores": f"""{_REPLAY}
 SELECT id AS transaction_id, risk_score, risk_level, reasons_json AS reasons FROM record""",
         "first_write_alerts": f"""{_REPLAY}
 SELECT r.id AS transaction_id, r.risk_score, r.risk_level, r.reasons_json AS reasons
