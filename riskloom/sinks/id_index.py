@@ -112,6 +112,10 @@ class IdIndex:
         kept = [u for u in self.units() if not (u["level"] == 0 and u["last"] == batch)]
         self._publish(self._merged([*kept, unit]))
 
+    def load(self, entries: DataFrame, last: int) -> None:
+        """Starts an index with ``transaction_id, batch`` of what is stored already, up to batch ``last``."""
+        self._publish([self._write(entries, 1, 0, last)])
+
     def _merged(self, units: list[dict]) -> list[dict]:
         """Merges full levels. The newest batch stays a unit of its own, as it may be repeated."""
         level = 0

@@ -3,8 +3,9 @@
 A batch replaces its own partition when it runs again, so a replay after a failure leaves every row once.  Readers see
 a batch only after all its tables are written.  Ids written by earlier batches win over later ones.
 
-The check for stored ids reads the id column of the whole table, which suits bounded loads and moderate streams.  For a
-continuous stream at a high rate use the database sink, whose primary key answers the question.
+The check for stored ids reads the id column of the whole table, which suits bounded loads and short streams.  With
+``index_buckets`` an index answers it (``id_index.py``): a batch then opens files in proportion to its own ids, and reads
+scores on record only in the batches that hold them, however long the history is.  The rows stored are the same.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from riskloom import model as m
 from riskloom.sinks.constraints import split_rejected
 from riskloom.sinks.counters import SinkCounters
 from riskloom.sinks.first_write import new_alerts, new_rows
+from riskloom.sinks.id_index import IdIndex
 
 _BATCH = T.StructField("batch_id", T.LongType())
 TABLES = {
@@ -36,6 +38,7 @@ class FileLedger:
     spark: SparkSession
     root: str
     counters: SinkCounters = field(default_factory=SinkCounters)
+    index_buckets: int | None = None
 
     def _path(self, table: str, batch_id: int | None = None) -> str:
         return f"{self.root}/{table}" if batch_id is None else f"{self.root}/{table}/batch_id={batch_id}"
@@ -51,7 +54,37 @@ class FileLedger:
             return self.spark.createDataFrame([], full)
 
     def _stored(self, table: str, before: int) -> DataFrame:
-        return self._all(table, TABLES[table]).where(F.col("batch_id") < before).drop("batch_id")
+        return self._with_batch(table, before).drop("batch_id")
+
+    def _with_batch(self, table: str, before: int) -> DataFrame:
+        return self._all(table, TABLES[table]).where(F.col("batch_id") < before)
+
+    def _index(self, table: str) -> IdIndex:
+        return IdIndex(self.spark, f"{self.root}/ids/{table}", self.index_buckets)
+
+    def _indexed(self, table: str, before: int) -> IdIndex:
+        """The index of a table; earlier batches that were written without one get it now."""
+        index = self._index(table)
+        if not index.units():
+            rows = self._with_batch(table, before).select("transaction_id", F.col("batch_id").alias("batch"))
+            last = rows.agg(F.max("batch")).first()[0]
+            if last is not None:
+                index.load(rows, last)
+        return index
+
+    def _known(self, table: str, ids: DataFrame, before: int) -> DataFrame:
+        """A frame with at least the given ids that earlier batches have stored."""
+        if self.index_buckets is None:
+            return self._stored(table, before)
+        return self._indexed(table, before).known(ids, before)
+
+    def _on_record(self, table: str, ids: DataFrame, before: int) -> DataFrame:
+        """Rows of earlier batches, at least those with the given ids."""
+        if self.index_buckets is None:
+            return self._stored(table, before)
+        known = self._indexed(table, before).known(ids, before)
+        batches = [r["batch"] for r in known.select("batch").distinct().collect()]  # no more than ids
+        return self._with_batch(table, before).where(F.col("batch_id").isin(batches)).drop("batch_id")  # prunes folders
 
     def batch_number(self, wanted: int | None) -> int:
         """The next number if none is wanted. A number before the last one stored is refused."""
@@ -84,14 +117,20 @@ class FileLedger:
         now = F.lit(self.spark.sql("SELECT current_timestamp()").first()[0])
         accepted, rejected = split_rejected(events)
         transactions, scores = new_rows(
-            accepted, self._stored("transactions", batch_id), self._stored("risk_scores", batch_id), now
+            accepted, self._known("transactions", accepted, batch_id), self._known("risk_scores", accepted, batch_id), now
         )
         self._replace(rejected, "rejected", batch_id)
         self._replace(transactions, "transactions", batch_id)
         self._replace(scores, "risk_scores", batch_id)
-        on_record = self._stored("risk_scores", batch_id + 1)
-        alerts = new_alerts(accepted, on_record, self._stored("fraud_alerts", batch_id), now)
+        raised = accepted.where("raise_alert")
+        this_batch = self.spark.read.schema(TABLES["risk_scores"]).parquet(self._path("risk_scores", batch_id))
+        on_record = self._on_record("risk_scores", raised, batch_id).unionByName(this_batch)
+        alerts = new_alerts(accepted, on_record, self._known("fraud_alerts", raised, batch_id), now)
         self._replace(alerts, "fraud_alerts", batch_id)
+        if self.index_buckets is not None:
+            for table in TABLES:
+                written_ids = self.spark.read.schema(TABLES[table]).parquet(self._path(table, batch_id))
+                self._index(table).add(written_ids, batch_id)
         skipped = self._rows_in("rejected", batch_id)
         written = self._rows_in("transactions", batch_id)
         commit = self.spark.createDataFrame([(written, skipped)], _COMMIT).coalesce(1)

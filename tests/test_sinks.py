@@ -45,9 +45,9 @@ def events(spark, *rows):
     return spark.createDataFrame(list(rows), EVENT_SCHEMA)
 
 
-@pytest.fixture
-def ledger(spark, tmp_path):
-    return FileLedger(spark, str(tmp_path / "tables"))
+@pytest.fixture(params=[None, 3], ids=["ids read", "ids indexed"])
+def ledger(spark, tmp_path, request):
+    return FileLedger(spark, str(tmp_path / "tables"), index_buckets=request.param)
 
 
 def counts(ledger):
@@ -335,3 +335,24 @@ def test_ranged_merge_statements():
     assert len(ranged) == 3 and "WHERE slot >= 5 AND slot < 9 ON CONFLICT" in ranged[0]
     assert "WHERE a.slot >= 5 AND a.slot < 9 ON CONFLICT" in ranged[2]
     assert "WHERE" not in "".join(merge_statements(7)[:2])
+
+
+def test_a_ledger_gets_its_index_later(spark, tmp_path):
+    topics = TopicSinks(format="parquet", folder=str(tmp_path / "topics"))
+    plain = FileLedger(spark, str(tmp_path / "tables"))
+    indexed = FileLedger(spark, str(tmp_path / "tables"), index_buckets=3)
+    for number, (ledger, ids) in enumerate([(plain, ["k1", "k2"]), (indexed, ["k2", "k3"]), (indexed, ["k1", "k3", "k4"])]):
+        path = str(tmp_path / f"raw{number}")
+        from_payloads(spark, [payload(i, customer=i) for i in ids]).write.parquet(path)
+        run_batch(read_raw_table(spark, path), EngineConfig(), ledger, topics)
+    assert sorted(r["transaction_id"] for r in indexed.read("transactions").collect()) == ["k1", "k2", "k3", "k4"]
+    assert indexed.counters.rows_written == 2
+
+
+def test_the_sink_is_chosen(spark, tmp_path):
+    from riskloom.__main__ import chosen_sink
+
+    assert isinstance(chosen_sink("files", spark, EngineConfig(), str(tmp_path)), FileLedger)
+    assert isinstance(chosen_sink("database", spark, EngineConfig(), str(tmp_path)), DatabaseSink)
+    with pytest.raises(SystemExit):
+        chosen_sink("paper", spark, EngineConfig(), str(tmp_path))
