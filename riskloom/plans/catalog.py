@@ -31,11 +31,12 @@ from riskloom.plans import streams
 from riskloom.plans.assemble import checked_messages, evaluated
 from riskloom.rules import risk as risk_rule_classes
 from riskloom.rules import validation as validation_rule_classes
-from riskloom.rules.registry import risk_rules
+from riskloom.rules.registry import risk_rules, validation_rules
 from riskloom.rules.validation import invariant_violations
 from riskloom.sinks.constraints import split_rejected
 from riskloom.sinks.first_write import new_alerts, new_rows
 from riskloom.sinks.id_index import IdIndex
+from riskloom.sinks.ledger import FileLedger
 from riskloom.session import shared_folder, staged
 from riskloom.sources.tables import events_as_messages, events_as_transactions, read_events
 
@@ -126,6 +127,31 @@ def _one_rule(rule_class) -> Query:
     return query
 
 
+def _check_digits(columns: dict) -> list[list[tuple[str, str]]]:
+    """A rule that fails on ids ending in 7 or 57 and finds fault with those ending in 8 or 58."""
+    found = []
+    for transaction_id in columns["transaction_id"].to_pylist():
+        last = int(transaction_id) % 50 if transaction_id and transaction_id.strip() else 0
+        if last == 7:
+            raise ValueError(f"no check digit for {transaction_id}")
+        found.append([("CHECK_DIGIT", f"check digit of {transaction_id} is {last}")] if last == 8 else [])
+    return found
+
+
+def rule_error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = validation_rule_classes.ColumnValidationRule("CheckDigitRule", ["transaction_id"], _check_digits)
+    return _exploded(checked_messages(_messages(spark, sf_dir), validation_rules([rule])), F.col("violations"))
+
+
+def lossy_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message that is no JSON, with bytes behind it that are no text."""
+    messages = _messages(spark, sf_dir)
+    junk = F.when(F.col("offset") % 4 < 2, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("20C3")))
+    broken = messages.withColumn("value", F.concat("value", junk)).where(F.contains(F.col("value"), F.lit("not json").cast("binary")))
+    parsed = parse_messages(broken)
+    return parsed.select(*_coordinates(), "error", "payload")
+
+
 def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = valid_transactions(checked_messages(_messages(spark, sf_dir)))
     return valid.select(*_coordinates(), "transaction_id", "customer_id", _double("amount"), "ts_ms")
@@ -202,6 +228,31 @@ def _results(settings: dict[str, str] | None) -> Query:
     return query
 
 
+class EvenCustomer:
+    """A rule as an installed package would bring it."""
+
+    name = "even-customer"
+
+    def __init__(self) -> None:
+        self.points = 15
+
+    def configure(self, settings) -> None:
+        self.points = int(settings.get("risk.even-customer-points", self.points))
+
+    def contribution(self) -> Column:
+        even = F.col("customer_id").cast("bigint") % 2 == 0
+        return F.when(even, F.struct(F.lit(self.points).alias("score"), F.lit("EVEN_CUSTOMER").alias("reason"))).otherwise(
+            F.struct(F.lit(0).alias("score"), F.lit(None).cast("string").alias("reason"))
+        )
+
+
+def extended_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with one more rule, which takes its place among the others by name and its points from the settings."""
+    rules = risk_rules({"risk.even-customer-points": "35"}, [EvenCustomer()], built_in=True)
+    scored = with_score(_contexts(spark, sf_dir), rules)
+    return scored.select("transaction_id", "risk_score", "risk_level", _joined("reasons"))
+
+
 def risk_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy("risk_level").agg(F.count(F.lit(1)).alias("transactions"))
 
@@ -388,6 +439,22 @@ def first_write_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.unionByName(added).select("transaction_id", F.col("risk_score").cast("int").alias("risk_score"), "risk_level", "reasons")
 
 
+def ledger_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ledger counts: two of three events, then a replay of all; every nineteenth amount fits no table."""
+    contexts = staged(_contexts(spark, sf_dir), "contexts")
+    event_id = F.col("transaction_id").cast("bigint")
+    too_much = F.lit("999999999999999.99995").cast(m.MONEY)
+    events = _to_persist(contexts).withColumn("amount", F.when(event_id % 19 == 0, too_much).otherwise(F.col("amount")))
+    events = staged(events, "events")
+    ledger = FileLedger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", index_buckets=8)
+    ledger.write(events.where(event_id % 3 != 0), 0)
+    ledger.write(events, 1)
+    c = ledger.counters
+    counted = {"batches_written": c.batches_written, "rows_written": c.rows_written, "records_skipped": c.records_skipped}
+    stored = ledger.read("transactions").agg(F.count("*").alias("rows_stored"), F.count_distinct("transaction_id").alias("ids_stored"))
+    return stored.select(*[F.lit(v).cast("bigint").alias(k) for k, v in counted.items()], "rows_stored", "ids_stored")
+
+
 def indexed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``risk_scores`` after the same replay, where an index over three earlier batches tells which ids are stored."""
     replay, transactions, scores = _replay(spark, sf_dir)
@@ -420,6 +487,8 @@ def catalog() -> dict[str, Query]:
         "minimum_amount_violations": _one_rule(checks.MinimumAmountRule),
         "required_field_violations": _one_rule(checks.RequiredFieldsRule),
         "supported_currency_violations": _one_rule(checks.SupportedCurrencyRule),
+        "rule_errors": rule_error_rows,
+        "lossy_payloads": lossy_payloads,
         "valid_transactions": valid_rows,
         "dead_letters": dead_letter_rows,
         "message_counters": message_counters,
@@ -443,6 +512,7 @@ def catalog() -> dict[str, Query]:
         "rule_transaction_velocity": _triggered(rules.TransactionVelocity),
         "risk_results": _results(None),
         "risk_results_strict": _results(STRICT_SETTINGS),
+        "extended_results": extended_results,
         "risk_level_counts": risk_level_counts,
         "reason_counts": reason_counts,
         "high_risk_alerts": alert_rows,
@@ -464,6 +534,7 @@ def catalog() -> dict[str, Query]:
         "first_write_scores": first_write_scores,
         "first_write_alerts": first_write_alerts,
         "indexed_first_write_scores": indexed_scores,
+        "ledger_counters": ledger_counters,
         "log_records": streams.log_records,
         "stream_results": streams.stream_results,
         "stream_state": streams.stream_state,

@@ -98,10 +98,14 @@ _REASONS = {
 _POINTS = {"r1": 30, "r2": 40, "r3": 50, "r4": 40, "r5": 40, "r6": 40}
 
 
-def _scored(fired: str = "fired", name: str = "scored") -> str:
-    total = " + ".join(f"CASE WHEN {r} THEN {p} ELSE 0 END" for r, p in _POINTS.items())
-    reasons = ", ".join(f"CASE WHEN {r} THEN '{text}' END" for r, text in _REASONS.items())
-    documents = ", ".join(f"CASE WHEN {r} THEN '\"{text}\"' END" for r, text in _REASONS.items())
+def _scored(fired: str = "fired", name: str = "scored", more: dict[str, tuple[str, int]] | None = None) -> str:
+    """``more`` has further rules, which come after the first: column, reason and points."""
+    (first, *rest), more = _REASONS, more or {}
+    texts = {first: _REASONS[first]} | {r: t for r, (t, _) in more.items()} | {r: _REASONS[r] for r in rest}
+    points = _POINTS | {r: p for r, (_, p) in more.items()}
+    total = " + ".join(f"CASE WHEN {r} THEN {p} ELSE 0 END" for r, p in points.items())
+    reasons = ", ".join(f"CASE WHEN {r} THEN '{text}' END" for r, text in texts.items())
+    documents = ", ".join(f"CASE WHEN {r} THEN '\"{text}\"' END" for r, text in texts.items())
     return f"""{name}_s AS (
   SELECT *, least(100, {total}) AS risk_score,
     concat_ws(',', {reasons}) AS reasons,
@@ -209,6 +213,11 @@ violations AS (
     AS INTEGER) AS position FROM found)"""
 
 
+_DIGITS = "CASE WHEN regexp_full_match(id, '[0-9]+') THEN CAST(id AS BIGINT) % 50 END"
+_CHECK_DIGIT = [
+    (f"{_DIGITS} = 8", "CHECK_DIGIT", "'check digit of ' || id || ' is 8'"),
+    (f"{_DIGITS} = 7", "RULE_ERROR", "'CheckDigitRule failed: ValueError(' || chr(39) || 'no check digit for ' || id || chr(39) || ')'"),
+]
 _ALL_CHECKS = _INVARIANTS + _MINIMUM + _REQUIRED + _CURRENCY
 _CHECKED = (
     f"{_MESSAGES}, {_violations(_ALL_CHECKS)}"
@@ -341,6 +350,10 @@ SELECT topic, "partition", "offset", error, coalesce(payload, '') AS payload FRO
         "minimum_amount_violations": _one_rule(_MINIMUM),
         "required_field_violations": _one_rule(_REQUIRED),
         "supported_currency_violations": _one_rule(_CURRENCY),
+        "rule_errors": _one_rule(_INVARIANTS + _CHECK_DIGIT + _MINIMUM + _REQUIRED + _CURRENCY),
+        "lossy_payloads": f"""WITH {_MESSAGES}
+SELECT "partition", "offset", 'MALFORMED_PAYLOAD: payload is not valid UTF-8' AS error, payload || CASE WHEN "offset" % 4 < 2 THEN chr(65533) ELSE ' ' || chr(65533) END AS payload
+FROM parsed WHERE payload = 'not json at all'""",
         "valid_transactions": f"""WITH {_CHECKED}
 SELECT "partition", "offset", id AS transaction_id, customer AS customer_id, CAST(amount AS DOUBLE) AS amount, ts_ms
 FROM valid""",
@@ -372,6 +385,9 @@ SELECT count(*) - count(DISTINCT id) AS duplicates_dropped FROM valid""",
         "risk_results": f"{_SCORED} {_RESULT}",
         "risk_results_strict": f"{_CTX}, {_rules(STRICT_SETTINGS)}, {_scored()} {_RESULT}",
         "risk_level_counts": f"{_SCORED} SELECT risk_level, count(*) AS transactions FROM scored GROUP BY risk_level",
+        "extended_results": f"""{_FIRED}, more AS (SELECT *, CAST(customer AS BIGINT) % 2 = 0 AS r7 FROM fired),
+{_scored("more", "scored", {"r7": ("EVEN_CUSTOMER", 35)})}
+SELECT id AS transaction_id, risk_score, risk_level, reasons FROM scored""",
         "reason_counts": f"""{_SCORED}, each AS (SELECT unnest(string_split(reasons, ',')) AS reason FROM scored)
 SELECT reason, count(*) AS transactions FROM each WHERE reason <> '' GROUP BY reason""",
         "high_risk_alerts": f"""{_SCORED}
@@ -453,6 +469,9 @@ SELECT o.key, CAST(o.batch AS BIGINT) AS batch, o.next - o.place AS rows, f.even
 FROM opened o JOIN placed f ON f.key = o.key AND f.place = o.place JOIN placed l ON l.key = o.key AND l.place = o.next - 1""",
         "first_write_scores": f"""{_REPLAY}
 SELECT id AS transaction_id, risk_score, risk_level, reasons_json AS reasons FROM record""",
+        "ledger_counters": """SELECT CAST(2 AS BIGINT) AS batches_written, count(*) FILTER (event_id % 19 <> 0) AS rows_written,
+  count(*) FILTER (event_id % 19 = 0) + count(*) FILTER (event_id % 19 = 0 AND event_id % 3 <> 0) AS records_skipped,
+  count(*) FILTER (event_id % 19 <> 0) AS rows_stored, count(*) FILTER (event_id % 19 <> 0) AS ids_stored FROM events""",
         "indexed_first_write_scores": f"""{_REPLAY}
 SELECT id AS transaction_id, risk_score, risk_level, reasons_json AS reasons FROM record""",
         "first_write_alerts": f"""{_REPLAY}

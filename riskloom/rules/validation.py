@@ -7,6 +7,7 @@ from datetime import UTC, datetime, timedelta
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,4 +140,41 @@ class PandasValidationRule:
         return run(F.struct(*[v.alias(c) for c, v in sent.items()]))
 
 
+class ColumnValidationRule:
+    """Adapter for a rule written over whole columns: ``check(columns) -> [[(code, message), ...], ...]``, a list a row.
+
+    ``columns`` maps the names the rule asks for to Arrow arrays; nothing else travels.  A batch that the check fails on, or
+    answers with another number of rows, is halved until the rows are found that it fails on; only those get
+    a ``RULE_ERROR`` violation.
+    """
+
+    def __init__(self, name: str, columns: Sequence[str], check: Callable[[dict[str, pa.Array]], Sequence]) -> None:
+        self.name = name
+        self._columns, self._check = tuple(columns), check
+
+    def violations(self, evaluated_at: Column) -> Column:
+        name, names, check = self.name, self._columns, self._check
+        kind = pa.list_(pa.struct([("code", pa.string()), ("message", pa.string())]))
+
+        def checked(arrays: list[pa.Array]) -> list:
+            rows = len(arrays[0])
+            try:
+                found = list(check(dict(zip(names, arrays, strict=True))))
+                if len(found) != rows:
+                    raise ValueError(f"{len(found)} results for {rows} rows")
+                return [[{"code": code, "message": message} for code, message in of_row] for of_row in found]
+            except Exception as error:
+                if rows == 1:
+                    return [[{"code": RULE_ERROR, "message": f"{name} failed: {error!r}"}]]
+                half = rows // 2
+                return checked([a.slice(0, half) for a in arrays]) + checked([a.slice(half) for a in arrays])
+
+        @F.arrow_udf(m.VIOLATIONS_TYPE)
+        def run(*arrays: pa.Array) -> pa.Array:
+            return pa.array(checked(list(arrays)) if len(arrays[0]) else [], kind)
+
+        given = {"evaluated_at": evaluated_at}
+        return run(*[given[c] if c in given else F.col(c) for c in names])
+
+
 BUILT_IN = (MinimumAmountRule, RequiredFieldsRule, SupportedCurrencyRule)

@@ -108,3 +108,24 @@ def test_dead_letters(spark):
     ]
     assert rows[1]["detail"] == "amount must be greater than 0 but was -5; currency not supported: JPY"
     assert [r["transaction_id"] for r in valid_transactions(checked).collect()] == ["ok"]
+
+
+def test_a_column_rule_fails_only_where_it_must(spark):
+    from riskloom.rules.validation import ColumnValidationRule
+
+    calls = []
+
+    def check(columns):
+        ids = columns["transaction_id"].to_pylist()
+        calls.append(len(ids))
+        if "t5" in ids or "t9" in ids:
+            raise RuntimeError("cannot judge")
+        return [[("ODD", i)] if i in ("t3", "t8") else [] for i in ids]
+
+    given = [payload(f"t{i}") for i in range(12)]
+    found = codes(spark, given, [ColumnValidationRule("Ids", ["transaction_id", "amount"], check)])
+    assert [f for f in found if f] and sum("RULE_ERROR" in f for f in found) == 2
+    assert sum("ODD" in f for f in found) == 2
+
+    short = codes(spark, given[:3], [ColumnValidationRule("Short", ["transaction_id"], lambda columns: [])])
+    assert all("RULE_ERROR" in f for f in short)
