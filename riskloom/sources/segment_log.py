@@ -314,9 +314,19 @@ class _Writing:
 
 
 class LogWriter(_Writing, DataSourceArrowWriter):
+    """With the options ``writer`` and ``batch`` a batch counts once, as a stream's does; without them each write counts."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options)
+        self.writer, batch = options.get("writer"), options.get("batch")
+        self.batch = None if batch is None else int(batch)
+        if (self.writer is None) != (self.batch is None):
+            raise ValueError("writer and batch go together")
+
     def commit(self, messages) -> None:
-        if segments := self._segments(messages):
-            Log(self.path).append(segments)
+        segments = self._segments(messages)
+        if (segments or self.writer) and not Log(self.path).append(segments, self.writer, self.batch):
+            self._drop(messages)
 
     def abort(self, messages) -> None:
         self._drop(messages)

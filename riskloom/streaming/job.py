@@ -19,6 +19,7 @@ from riskloom.sinks.database import DatabaseSink
 from riskloom.sinks.ledger import FileLedger
 from riskloom.sinks.retry import RetryPolicy, with_retries
 from riskloom.sinks.topics import TopicSinks
+from riskloom.sources.segment_log import Folder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,6 +61,14 @@ def _stored(write: Callable[[], None], config: EngineConfig, ledger: FileLedger
     with_retries(write, RetryPolicy(max_elapsed_s=config.database.max_retry_seconds), on_retry=count_retry)
 
 
+def _forget(root: str, batch_id: int) -> None:
+    """Removes the written outcomes of batches before this one; only the last batch can be repeated."""
+    folder = Folder(f"{root}/outcomes")
+    for name in folder.names(""):
+        if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) < batch_id:
+            folder.files.delete_dir(folder.at(name))
+
+
 @dataclass
 class MetricTotals(StreamingQueryListener):
     """Sums the observed counters of all queries of a session."""
@@ -133,6 +142,7 @@ def start_stream(
         _stored(lambda: ledger.write(persistable_of(written), batch_id), config, ledger)
         topics.write_results(scored, batch_id)
         topics.write_alerts(high_risk_alerts(scored), batch_id)
+        _forget(ledger.root, batch_id)
 
     def route_letters(batch: DataFrame, batch_id: int) -> None:
         topics.write_dead_letters(batch, batch_id)

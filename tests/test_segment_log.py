@@ -166,3 +166,26 @@ def test_uncommitted_and_aborted_files_stay_unseen(spark, tmp_path):
     assert not (tmp_path / "log/data" / repeated.segments[0][1]).exists()
     writer.commit([Written([])], 1)  # an empty batch counts as done
     assert json.loads((tmp_path / "log/commits" / f"{2:020d}.json").read_text())["writers"] == {"w": 1}
+
+
+def test_topics_as_logs_hold_a_repeated_batch_once(spark, tmp_path):
+    from payloads import payload
+
+    from riskloom.config import EngineConfig
+    from riskloom.sinks.ledger import FileLedger
+    from riskloom.sinks.topics import TopicSinks
+    from riskloom.sources.log import from_payloads
+    from riskloom.streaming.job import run_batch
+
+    topics = TopicSinks(EngineConfig(), FORMAT, str(tmp_path / "topics"))
+    ledger = FileLedger(spark, str(tmp_path / "tables"))
+    raw = from_payloads(spark, [payload(f"b{i}", seconds=5 * i, amount=1000) for i in range(6)] + ["poison"])
+    for batch in (0, 0, 1):  # a repeat, then the same messages as a batch of their own
+        run_batch(raw, EngineConfig(), ledger, topics, batch_id=batch)
+    config = topics.config
+    for topic, records in ((config.risk_topic, 12), (config.alerts_topic, 2), (config.invalid_topic, 2)):
+        rows = found(read_log(spark, f"{topics.folder}/{topic}"))
+        check_offsets(rows)
+        assert len(rows) == records
+    with pytest.raises(Exception, match="go together"):
+        raw.selectExpr("cast(null as string) as key", "value").write.format(FORMAT).mode("append").option("path", str(tmp_path / "x")).option("writer", "w").save()

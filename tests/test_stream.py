@@ -239,3 +239,4 @@ def test_the_whole_job(spark, tmp_path):
     assert [r["transaction_id"] for r in ledger.read("fraud_alerts").collect()] == ["b5"]
     letters = spark.read.parquet(f"{topics.folder}/transaction.invalid.events")
     assert letters.count() == 2
+    assert len(list((tmp_path / "tables/outcomes").glob("batch_id=*"))) <= 2  # the last one, and one that was under way
