@@ -6,11 +6,13 @@ longest rests that fit, from this tier down; when none fits, the shortest one is
 therefore exactly as long as their tier. Only when a partition ends can one be short: what is left there is cut into the
 tiers that fit, and the last piece makes the only padded sequence of the partition.
 
-Sequences of one tier form steps of ``step_tokens`` tokens each, so that all steps weigh the same.
+Sequences of one tier form steps of ``step_tokens`` tokens each, so that all steps weigh the same. They are numbered over
+the whole table: the sequences of each partition and tier are counted and the counts added up, so that only the
+last step of a tier can be short.
 
 There is no shuffle: a partition is packed as it is read, in order, with less than two long windows and one batch of rests
-in memory. Sequence numbers carry the partition number, so a task that runs again gives the same ones, as long as its
-input has a fixed order, as files have.
+in memory. The pieces are written once, and the steps numbered as they are read back. Sequence numbers carry the
+partition number, so a task that runs again gives the same ones, as long as its input has a fixed order, as files have.
 
 Defined results: null and empty texts are the end id alone; rows with equal or null ids are packed each for itself.
 """
@@ -23,15 +25,17 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from riskloom.llm.shared import keyed_text, small_batches
+from riskloom.llm.shared import keyed_text, small_batches, stored
 from riskloom.llm.tokens import Encoder
 
 TIERS = (128, 256, 512, 1024)
 _RESULT = (
-    "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step long"
+    "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, rank long"
 )
+_PARTITION_BITS = 33
 
 
 class Packer:
@@ -39,14 +43,14 @@ class Packer:
 
     def __init__(self, tiers: tuple[int, ...], step_tokens: int, partition: int) -> None:
         self.tiers, self.longest, self.step_tokens = tiers, tiers[-1], step_tokens
-        self.base = partition << 33
+        self.base = partition << _PARTITION_BITS
         self.sequences = self.number = self.tokens = 0
         self.of_tier = dict.fromkeys(tiers, 0)
         self.rests: list[tuple] = []
         self.out: list[tuple] = []
 
     def _emit(self, pieces: list[tuple], tier: int) -> None:
-        step = self.base + self.of_tier[tier] * tier // self.step_tokens
+        step = self.base + self.of_tier[tier] * tier // self.step_tokens  # within the partition
         self.of_tier[tier] += 1
         offset = 0
         for length, _, doc, start, ids, total in pieces:
@@ -123,9 +127,14 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(content)
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId())
+        ranks = dict.fromkeys(tiers, -1)
 
         def rows() -> pa.RecordBatch:
-            columns = list(zip(*packer.out, strict=True)) or [[]] * len(kinds)
+            placed = []
+            for *piece, offset, tier, _ in packer.out:
+                ranks[tier] += offset == 0  # a sequence begins
+                placed.append((*piece, offset, tier, ranks[tier]))
+            columns = list(zip(*placed, strict=True)) or [[]] * len(kinds)
             packer.out = []
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -138,5 +147,19 @@ def pack(
         packer.finish()
         yield rows()
 
-    texts = keyed_text(docs, key, text)
-    return texts.select(texts["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, _RESULT)
+    texts = keyed_text(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _with_steps(stored(texts.mapInArrow(run, _RESULT), "packed"), step_tokens)
+
+
+def _with_steps(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """``step`` in the place of ``rank``: the rank of a sequence among all of its tier tells its step.
+
+    The counts have a row for each partition and tier; Spark sends them to all tasks if they are few.
+    """
+    part = F.shiftright("sequence_id", _PARTITION_BITS)
+    counts = pieces.filter("offset = 0").groupBy(part.alias("part"), F.col("tier").alias("of_tier")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("of_tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("part", "of_tier", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    met = pieces.join(before, (part == before["part"]) & (pieces["tier"] == before["of_tier"]))
+    step = F.expr(f"((before + rank) * tier) div {int(step_tokens)}")
+    return met.select(*[c for c in pieces.columns if c != "rank"], step.cast("long").alias("step"))

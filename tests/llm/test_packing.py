@@ -96,3 +96,22 @@ def test_steps_weigh_the_same():
     last = {t: max(s for x, s in weights if x == t) for t, _ in weights}
     assert all(w == 4096 for (t, s), w in weights.items() if s != last[t])
     assert len({t for t, _ in weights}) > 1
+
+
+def test_steps_are_whole_over_all_partitions(spark):
+    rng = random.Random(7)
+    docs = [(i, " ".join(str(rng.randrange(1000)) for _ in range(rng.choice([3, 40, 90, 200, 700])))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6, "doc_id")
+    pieces = pack(df, FILE, step_tokens=4096).collect()
+    weights, short = defaultdict(int), defaultdict(int)
+    for p in pieces:
+        weights[p["tier"], p["step"]] += p["length"]
+    of_sequence = defaultdict(int)
+    for p in pieces:
+        of_sequence[p["sequence_id"], p["tier"], p["step"]] += p["length"]
+    for (_, tier, step), length in of_sequence.items():
+        short[tier, step] += tier - length
+    for tier in {t for t, _ in weights}:
+        steps = sorted(s for t, s in weights if t == tier)
+        assert steps == list(range(len(steps)))  # numbered over the whole table
+        assert all(weights[tier, s] + short[tier, s] == 4096 for s in steps[:-1])
