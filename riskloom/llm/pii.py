@@ -158,6 +158,25 @@ def _checked(digits: Column, like: Column) -> Column:
     return F.when(luhn_sum(like) % 10 == 0, F.concat(front, last)).otherwise(digits)
 
 
+def iban_remainder(iban: Column) -> Column:
+    """What is left of an IBAN by 97: 1 if its check digits are right. Letters count as two digits, the front four go last."""
+    turned = F.concat(iban.substr(F.lit(5), F.length(iban)), iban.substr(F.lit(1), F.lit(4)))
+    chars = F.filter(F.split(turned, ""), lambda c: c != "")
+
+    def on(left: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        return F.when(digit, (left * 10 + F.ascii(c) - 48) % 97).otherwise((left * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(chars, F.lit(0), on)
+
+
+def _checked_iban(iban: Column, like: Column) -> Column:
+    """The IBAN with check digits that make it valid, if those of ``like`` are."""
+    country, rest = iban.substr(F.lit(1), F.lit(2)), iban.substr(F.lit(5), F.length(iban))
+    digits = F.lpad((98 - iban_remainder(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+    return F.when(iban_remainder(like) == 1, F.concat(country, digits, rest)).otherwise(iban)
+
+
 def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a canonical form."""
     seed = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, canonical, attempt.cast("string")).cast("binary"), 256)
@@ -168,7 +187,7 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
     out = (
         F.when(kind == "email", F.concat(_mapped(local, seed, F.lit(0)), F.lit("@d"), host, F.lit(".example")))
         .when(kind == "ip", F.concat_ws(".", *(octet(k) for k in range(4))))
-        .when(kind == "iban", _mapped(canonical, seed, F.lit(2)))
+        .when(kind == "iban", _checked_iban(_mapped(canonical, seed, F.lit(2)), canonical))
         .when(kind == "card", _checked(_mapped(canonical, seed, F.lit(1)), canonical))
         .when(kind == "phone", _mapped(canonical, seed, F.lit(1)))
         .when(kind.isin("ssn", "initial"), _mapped(canonical, seed, F.lit(0)))

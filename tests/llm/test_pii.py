@@ -130,3 +130,25 @@ def test_names_of_all_forms_and_later_mentions(spark):
     assert re.fullmatch(r"Dr\. \w+rd and Mr\. \w+rd's", out["inner"])
     initials = re.fullmatch(r"Mr\. [A-Z]\. [A-Z]\. (\w+rd), Mr [A-Z] (\w+rd)", out["initials"])
     assert initials[1] == initials[2] and out["none"] == texts["none"]
+
+
+def test_valid_ibans_stay_valid(spark):
+    from pyspark.sql import functions as F
+
+    from riskloom.llm.pii import iban_remainder, surrogate
+
+    def remainder(iban):
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+    valid = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+    wrong = ["DE00370400440532013000", "GB11NWBK60161331926819"]
+    df = spark.createDataFrame([(i,) for i in valid + wrong], "iban string")
+    rows = df.select("iban", iban_remainder(F.col("iban")).alias("left"), *[surrogate(F.lit("iban"), F.col("iban"), F.lit(k), "key").alias(f"s{k}") for k in range(3)]).collect()
+    for r in rows:
+        assert r["left"] == remainder(r["iban"])
+        for k in range(3):
+            new = r[f"s{k}"]
+            assert new[:2] == r["iban"][:2] and len(new) == len(r["iban"]) and new != r["iban"]
+            assert [c.isdigit() for c in new[4:]] == [c.isdigit() for c in r["iban"][4:]]
+            assert r["iban"] in wrong or remainder(new) == 1
+    assert len({r[f"s{k}"] for r in rows for k in range(3)}) == 3 * len(rows)
