@@ -36,6 +36,7 @@ _RESULT = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, rank long"
 )
 _PARTITION_BITS = 33
+MOST_SENT = 400_000  # rows of three numbers, about 10 MB
 
 
 class Packer:
@@ -154,12 +155,15 @@ def pack(
 def _with_steps(pieces: DataFrame, step_tokens: int) -> DataFrame:
     """``step`` in the place of ``rank``: the rank of a sequence among all of its tier tells its step.
 
-    The counts have a row for each partition and tier; Spark sends them to all tasks if they are few.
+    The counts have a row for each partition and tier. They are counted before they are sent to all tasks, and joined by a
+    shuffle if there are more than ``MOST_SENT``.
     """
     part = F.shiftright("sequence_id", _PARTITION_BITS)
     counts = pieces.filter("offset = 0").groupBy(part.alias("part"), F.col("tier").alias("of_tier")).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("of_tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", "of_tier", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    met = pieces.join(before, (part == before["part"]) & (pieces["tier"] == before["of_tier"]))
+    before = stored(before, "sequences-before")
+    few = F.broadcast(before) if before.count() <= MOST_SENT else before
+    met = pieces.join(few, (part == before["part"]) & (pieces["tier"] == before["of_tier"]))
     step = F.expr(f"((before + rank) * tier) div {int(step_tokens)}")
     return met.select(*[c for c in pieces.columns if c != "rank"], step.cast("long").alias("step"))
