@@ -131,18 +131,23 @@ class Alignment:
         self.a, self.b = np.concatenate(a or none), np.concatenate(c or none)
         self.ends_a, self.ends_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
         self.text_ends = self.ends_a[np.cumsum(self.n_a) - 1] if len(a) else np.zeros(0, np.int64)
-        self.group_ends = np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
-        self.n_groups = np.bincount(np.searchsorted(self.text_ends, self.group_ends), minlength=len(a))
+        # a flag for each byte that a token ends with; counting flags tells which token a byte belongs to
+        ends = np.zeros((2, int(self.ends_a[-1]) + 1 if len(self.ends_a) else 1), dtype=bool)
+        ends[0, self.ends_a] = ends[1, self.ends_b] = True
+        both = ends[0] & ends[1]
+        self.group_of = np.cumsum(both, dtype=np.int32) - both
+        self.n_groups = np.bincount(np.searchsorted(self.text_ends, np.flatnonzero(both)), minlength=len(a))
         # both token sequences cut the bytes into pieces; each piece is one overlap of one token of A and one of B
-        cuts = np.union1d(self.ends_a, self.ends_b)
-        self.pairs = (self.a[np.searchsorted(self.ends_a, cuts)].astype(np.int64) << 32) | self.b[np.searchsorted(self.ends_b, cuts)]
+        cuts = np.flatnonzero(ends[0] | ends[1])
+        at_a, at_b = ((np.cumsum(e, dtype=np.int32) - e)[cuts] for e in ends)
+        self.pairs = (self.a[at_a].astype(np.int64) << 32) | self.b[at_b]
         self.text_of = np.searchsorted(self.text_ends, cuts)
         self.n_links = np.bincount(self.text_of, minlength=len(a))
 
     def written(self, table: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
         """Each text's groups as ``a1,a2|b1;a3|b2``."""
         digits, widths = table
-        group = np.concatenate([2 * np.searchsorted(self.group_ends, self.ends_a), 2 * np.searchsorted(self.group_ends, self.ends_b) + 1])
+        group = np.concatenate([2 * self.group_of[self.ends_a], 2 * self.group_of[self.ends_b] + 1])
         order = np.argsort(group, kind="stable")
         group, ids = group[order], np.concatenate([self.a, self.b])[order]
         rows, width = digits[ids], widths[ids]
