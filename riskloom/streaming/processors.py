@@ -45,28 +45,38 @@ EVALUATED_SCHEMA = T.StructType(
     [*CARRIED_ROW.fields, *m.CONTEXT_FIELDS, T.StructField("lateness", T.StringType())]
 )
 
+# One column of rows, as each column of a small frame costs as much as a row.
+EVALUATED_ROWS = T.StructType([T.StructField("rows", T.ArrayType(EVALUATED_SCHEMA))])
+
 
 class FirstOccurrence(StatefulProcessor):
     """Passes the first row of an id on and drops the rest until the retention has passed in processing time.
 
-    A duplicate does not renew the retention.
+    A duplicate does not renew the retention.  The key is a bucket of ids, as a call for each id costs several times what its
+    state does; each id has an entry of its own, with its own expiry.
     """
 
     def __init__(self, retention_ms: int) -> None:
         self._retention_ms = retention_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        transaction_id = T.StructType([T.StructField("transaction_id", T.StringType())])
         seen = T.StructType([T.StructField("seen", T.BooleanType())])
-        self._seen = handle.getValueState("seen", seen, ttlDurationMs=self._retention_ms)
+        self._seen = handle.getMapState("seen", transaction_id, seen, ttlDurationMs=self._retention_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self._seen.exists():
+        firsts = None
+        for frame in rows:
+            both = frame if firsts is None else pd.concat([firsts, frame])
+            firsts = both.sort_values(list(m.COORDINATES), kind="stable").drop_duplicates("transaction_id")
+        if firsts is None:
             return
-        # the first row of every frame, then the first of those
-        firsts = [f.sort_values(list(m.COORDINATES), kind="stable").head(1) for f in rows if len(f)]
-        if firsts:
-            self._seen.update((True,))
-            yield pd.concat(firsts).sort_values(list(m.COORDINATES), kind="stable").head(1)
+        new = [not self._seen.containsKey((i,)) for i in firsts["transaction_id"]]
+        firsts = firsts[new]
+        for transaction_id in firsts["transaction_id"]:
+            self._seen.updateValue((transaction_id,), (True,))
+        if len(firsts):
+            yield firsts[CARRIED]
 
     def close(self) -> None:
         pass
@@ -245,7 +255,8 @@ def _value(v):
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=EVALUATED_SCHEMA.names, dtype=object)
+    names = EVALUATED_SCHEMA.names
+    return pd.DataFrame({"rows": [[dict(zip(names, row, strict=True)) for row in rows]]})
 
 
 def _context(row: tuple, past: list[tuple]) -> tuple:

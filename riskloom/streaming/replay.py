@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,21 @@ def drain(query: StreamingQuery) -> None:
         time.sleep(0.1)
 
 
+@contextmanager
+def _few_partitions(spark: SparkSession) -> Iterator[None]:
+    """Two state partitions for each core, for a query that starts meanwhile.
+
+    Every micro-batch opens all of them in each operator, which costs about half a second of a core whatever they hold, and
+    RocksDB keeps the state of a large one on disk. A query that goes on keeps the number it began with.
+    """
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(given), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+
+
 def replay(
     spark: SparkSession, log: str, folder: str, *, most: int | None = None, config: EngineConfig | None = None, topic: str = "transaction.events"
 ) -> Replay:
@@ -65,7 +82,8 @@ def replay(
     messages = raw_messages(read_log(spark, log, streaming=True, topic=topic, most=most, position=position))
     rows = evaluated(valid_transactions(checked_messages(messages)), config, risk_rules(config.risk_settings))
     results, checkpoint = f"{folder}/results", f"{folder}/checkpoint"
-    query = rows.writeStream.format("parquet").option("path", results).option("checkpointLocation", checkpoint).start()
+    with _few_partitions(spark):
+        query = rows.writeStream.format("parquet").option("path", results).option("checkpointLocation", checkpoint).start()
     try:
         drain(query)
     finally:

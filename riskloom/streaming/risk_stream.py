@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.config import EngineConfig
-from riskloom.streaming.processors import CARRIED, CARRIED_ROW, EVALUATED_SCHEMA, FirstOccurrence, InEventOrder
+from riskloom.streaming.processors import CARRIED, CARRIED_ROW, EVALUATED_ROWS, FirstOccurrence, InEventOrder
 
+_ID_BUCKETS = 512  # state keys of the duplicates; a batch of four million ids brings eight thousand to each
 _NEVER_LATE = "2262-04-01 00:00:00"  # near the end of what pandas timestamps hold
 
 
@@ -16,8 +17,8 @@ def unique_stream(transactions: DataFrame, retention_ms: int) -> DataFrame:
     # Times go as microseconds: the nanoseconds of pandas end in the year 2262.
     rows = (
         transactions.withColumn("timestamp", F.unix_micros("timestamp"))
-        .select(*CARRIED)
-        .groupBy("transaction_id")
+        .select(*CARRIED, F.pmod(F.xxhash64("transaction_id"), F.lit(_ID_BUCKETS)).alias("bucket"))
+        .groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=FirstOccurrence(retention_ms),
             outputStructType=CARRIED_ROW,
@@ -55,8 +56,8 @@ def evaluated_stream(unique: DataFrame, config: EngineConfig) -> DataFrame:
         statefulProcessor=InEventOrder(
             config.allowed_lateness_seconds * 1_000, config.history_retention_ms, config.history_max_entries
         ),
-        outputStructType=EVALUATED_SCHEMA,
+        outputStructType=EVALUATED_ROWS,
         outputMode="Append",
         timeMode="EventTime",
     )
-    return rows.withColumn("timestamp", F.timestamp_micros("timestamp"))
+    return rows.select(F.inline("rows")).withColumn("timestamp", F.timestamp_micros("timestamp"))

@@ -33,3 +33,18 @@ def test_a_second_run_goes_on_where_the_first_stopped(spark, tmp_path):
     assert rows_of(run)[3:] == [("late", "LATE", None), ("tolerated", "TOLERATED", 40)]  # 7,000 in ten minutes
     assert rows_of(replay(spark, log, folder, config=config)) == rows_of(run)  # nothing new, nothing again
     assert state_of(spark, run.checkpoint, "history").where("key.customer_id <> 'other'").count() == 4
+
+
+def test_two_state_partitions_for_each_core(spark, tmp_path):
+    log, folder = str(tmp_path / "log"), tmp_path / "run"
+    feed(spark, log, payload("a"), payload("clock", "other", seconds=100))
+    few = 2 * spark.sparkContext.defaultParallelism
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(few + 5))
+    try:
+        run = replay(spark, log, str(folder))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(few + 5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+    assert rows_of(run) == [("a", "ON_TIME", 0)]
+    assert {len([p for p in (folder / "checkpoint/state" / n).iterdir() if p.name.isdigit()]) for n in ("0", "1")} == {few}
