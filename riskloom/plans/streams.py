@@ -15,6 +15,7 @@ from riskloom.streaming.replay import Replay, replay, state_of
 
 LOG_PARTITIONS = 4
 BATCHES = 10
+SEGMENT_ROWS = 100_000
 ALLOWED_LATENESS_SECONDS = 300
 
 
@@ -32,7 +33,10 @@ def arrival_log(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     total = (messages.agg(F.max(event_id).alias("most")).first()["most"] or 0) + 1
     delay = F.when(event_id % 11 == 0, total // 5).when(event_id % 7 == 0, total // 20).otherwise(0)
     records = messages.select(F.lit(None).cast("string").alias("key"), "value", "partition", (event_id + delay).alias("turn"), event_id.alias("id"))
-    ordered = records.repartition(LOG_PARTITIONS, "partition").sortWithinPartitions("turn", "id")
+    # Each task writes a range of a partition's turns; a commit places its segments in the order of the tasks.
+    segments = max(LOG_PARTITIONS, -(-total // SEGMENT_ROWS))
+    place = ["partition", "turn", "id"]
+    ordered = records.repartitionByRange(segments, *place).sortWithinPartitions(*place)
     path = _new_folder(spark, "arrivals")
     append_to_log(ordered, path, partitions=LOG_PARTITIONS)
     share = LOG_PARTITIONS * BATCHES
