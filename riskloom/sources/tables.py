@@ -12,7 +12,13 @@ _ORIGIN_MS = 1_704_067_200_000  # 2024-01-01T00:00:00Z
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The ``events`` table, dealt over all cores.
+
+    A file has as many reading tasks as row groups, perhaps one, and mapping and parsing an event costs a hundred times
+    what moving it does.
+    """
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").repartition(tasks)
 
 
 def events_as_transactions(events: DataFrame, *, compression: int = 1_000) -> DataFrame:
