@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -140,12 +141,19 @@ class IdIndex:
             return self.spark.createDataFrame([], _ENTRY)
         return self.spark.read.schema(_ENTRY).parquet(*[f"{self.root}/units/{f}" for f in files])
 
-    def known(self, ids: DataFrame, before: int) -> DataFrame:
-        """``transaction_id, batch`` of those of the ids that batches before the given one have stored."""
+    def asked(self, ids: DataFrame) -> DataFrame:
+        """The distinct ids as lookups need them, for several indexes with as many buckets."""
+        return staged(_hashed(ids.select("transaction_id").distinct(), self.buckets), "asked-ids")
+
+    def known(self, ids: DataFrame, before: int, asked: Callable[[], DataFrame] | None = None) -> DataFrame:
+        """``transaction_id, batch`` of those of the ids that batches before the given one have stored.
+
+        ``asked`` gives what ``asked(ids)`` has made of the same ids already; it is called only if there is something to look up.
+        """
         units = [u for u in self.units() if u["first"] < before]
         if not units:
             return self.spark.createDataFrame([], "transaction_id string, batch bigint")
-        asked = staged(_hashed(ids.select("transaction_id").distinct(), self.buckets), "asked-ids")
+        asked = self.asked(ids) if asked is None else asked()
         filters = None
         for u in units:
             one = self.spark.read.schema(_FILTER).parquet(f"{self.root}/units/{u['name']}/filters").withColumn("unit", F.lit(u["name"]))
@@ -160,7 +168,8 @@ class IdIndex:
             return pa.table({"unit": right.column("unit"), "bucket": right.column("bucket"), "hits": pa.array(found, pa.int64())})
 
         wanted = filters.join(asked.select("bucket").distinct(), "bucket", "left_semi")
-        tested = staged(asked.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(test, hits_type), "tested-files")
+        hashes = asked.select("bucket", "h1", "h2")  # the ids themselves need not travel
+        tested = staged(hashes.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(test, hits_type), "tested-files")
         files = tested.where("hits > 0").select("unit", "bucket").collect()  # no more than hits of the batch's ids
         self.last_probe = Probe(files=tested.count(), opened=len(files))
         if not files:

@@ -11,7 +11,9 @@ scores on record only in the batches that hold them, however long the history is
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -72,11 +74,11 @@ class FileLedger:
                 index.load(rows, last)
         return index
 
-    def _known(self, table: str, ids: DataFrame, before: int) -> DataFrame:
+    def _known(self, table: str, ids: DataFrame, before: int, asked: Callable[[], DataFrame] | None = None) -> DataFrame:
         """A frame with at least the given ids that earlier batches have stored."""
         if self.index_buckets is None:
             return self._stored(table, before)
-        return self._indexed(table, before).known(ids, before)
+        return self._indexed(table, before).known(ids, before, asked)
 
     def _on_record(self, table: str, ids: DataFrame, before: int) -> DataFrame:
         """Rows of earlier batches, at least those with the given ids."""
@@ -116,8 +118,12 @@ class FileLedger:
         started = time.monotonic()
         now = F.lit(self.spark.sql("SELECT current_timestamp()").first()[0])
         accepted, rejected = split_rejected(events)
+        asked = cache(lambda: self._index("transactions").asked(accepted))  # both tables are asked for the same ids
         transactions, scores = new_rows(
-            accepted, self._known("transactions", accepted, batch_id), self._known("risk_scores", accepted, batch_id), now
+            accepted,
+            self._known("transactions", accepted, batch_id, asked),
+            self._known("risk_scores", accepted, batch_id, asked),
+            now,
         )
         self._replace(rejected, "rejected", batch_id)
         self._replace(transactions, "transactions", batch_id)

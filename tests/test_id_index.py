@@ -47,3 +47,19 @@ def test_a_repeated_batch_replaces_its_own(spark, tmp_path):
     assert {r[0] for r in index.known(ids(spark, ["b0", f"b{MERGE}", "other"]), 99).collect()} == {"b0", "other"}
     index.add(ids(spark, []), MERGE + 1)
     assert index.known(ids(spark, ["other"]), 99).count() == 1
+
+
+def test_one_preparation_of_ids_serves_two_indexes(spark, tmp_path):
+    first, second = (IdIndex(spark, str(tmp_path / name), buckets=4) for name in ("first", "second"))
+    first.add(ids(spark, ["a", "b"]), 0)
+    made = []
+
+    def asked():
+        if not made:
+            made.append(first.asked(ids(spark, ["a", "c", "a"])))
+        return made[0]
+
+    assert second.known(ids(spark, ["a"]), 1, asked).collect() == [] and not made  # nothing to look up
+    second.add(ids(spark, ["c"]), 0)
+    assert [tuple(r) for r in first.known(ids(spark, ["a", "c"]), 1, asked).collect()] == [("a", 0)]
+    assert [tuple(r) for r in second.known(ids(spark, ["a", "c"]), 1, asked).collect()] == [("c", 0)]
