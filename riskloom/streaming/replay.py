@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.config import EngineConfig
@@ -98,4 +99,7 @@ def state_of(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
     if len(owner) != 1:
         raise ValueError(f"{len(owner)} operators have a state variable {variable}")
     reader = spark.read.format("statestore").option("operatorId", owner[0][0]).option("stateVarName", variable)
-    return reader.option("flattenCollectionTypes", "true").load(checkpoint)
+    kept = reader.option("flattenCollectionTypes", "true").load(checkpoint)
+    if "value" in kept.columns and "entries" in kept.schema["value"].dataType.names:
+        return kept.select("key", F.explode(F.from_json("value.entries", "array<string>")).alias("entry"), "partition_id")
+    return kept
